@@ -32,6 +32,7 @@ REGISTERS = 192
 BASE = 1.08
 RATE = 20.0
 BANDS, ROWS = 60, 5
+KEY_BITS = 44
 MARGIN = 0.15
 #: Classes of exact copies up to this size are expanded into all pairs, larger ones into pairs with the class's first id.
 FULL_PAIRS = 1000
@@ -63,10 +64,13 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
-    """BANDS keys (int64) of each sketch; the band's number is part of the key."""
+    """BANDS keys of each sketch, the band's number being part of the key.
+
+    Keys have KEY_BITS bits: fewer bytes to shuffle, and chance collisions stay rare beside real candidates.
+    """
     picked = sketch[:, _BANDS].astype(np.uint64) + np.uint64(1)
     keys = (picked * _BAND_MULTIPLIERS[None]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)[None] * np.uint64(0x9E3779B97F4A7C15)
-    return signed(mix(keys))
+    return signed(mix(keys) >> np.uint64(64 - KEY_BITS))
 
 
 _GRID = np.linspace(0.0, 1.0, 101)
