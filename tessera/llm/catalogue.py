@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("near_duplicates",)
+MODULES = ("near_duplicates", "tokens", "packing")
 
 
 def _all(name: str) -> dict:
