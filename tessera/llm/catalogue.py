@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("near_duplicates", "tokens", "packing")
+MODULES = ("near_duplicates", "tokens", "packing", "split_overlap")
 
 
 def _all(name: str) -> dict:
