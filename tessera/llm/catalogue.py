@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("near_duplicates", "residue", "tokens", "packing", "split_overlap", "reading_level")
+MODULES = ("boilerplate", "near_duplicates", "residue", "split_overlap", "tokens", "packing", "reading_level")
 
 
 def _all(name: str) -> dict:
