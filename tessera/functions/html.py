@@ -26,7 +26,8 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
         self.title: list[str] | None = None
-        self.titled = False
+        self.first_title = False
+        self.in_title = False
         self.skip: list[str] = []
         self.meta: dict[str, str] = {}
         self.blobs: list[str] = []
@@ -44,8 +45,11 @@ class _Page(HTMLParser):
             self.links.append(a["href"].strip())
         if tag in _SKIPPED:
             self.skip.append(tag)
-        if tag == "title" and not self.titled and not self.skip:
-            self.title = []
+        if tag == "title":
+            self.in_title = True
+            self.first_title = self.title is None and not self.skip
+            if self.first_title:
+                self.title = []
         if tag in _BLOCKS:
             self.parts.append("\n")
 
@@ -55,16 +59,17 @@ class _Page(HTMLParser):
         if self.skip and tag in self.skip:
             while self.skip.pop() != tag:
                 pass
-        if tag == "title" and self.title is not None and not self.titled:
-            self.titled = True
+        if tag == "title":
+            self.in_title = False
         if tag in _BLOCKS:
             self.parts.append("\n")
 
     def handle_data(self, data: str) -> None:
         if self.blob:
             self.blobs[-1] += data
-        if self.title is not None and not self.titled:
-            self.title.append(data)
+        if self.in_title:
+            if self.first_title:
+                self.title.append(data)
         elif not self.skip:
             self.parts.append(data)
 
