@@ -15,14 +15,17 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.shingles import batch_shingles
 from tessera.sources.tables import load, persisted, spread
 
 HAMMING, SIMILARITY = 3, 0.8
@@ -150,42 +153,76 @@ __[A-Za-z]\w*?__
 _WORK_NOTE = re.compile(r"^\W*(?:TODO|FIXME|TBD|TKTK|TK)\b(?!\w)")
 _MESSAGE = re.compile("|".join(f"(?:{p})" for p in _MESSAGES))
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in _PLACEHOLDERS))
+#: A message contains one of these; lines without any skip the patterns.
+_TRIGGERS = """
+bad request|unauthori|payment required|forbidden|not found|not allowed|not acceptable|time-out|timeout|conflict|gone|too many requests|server error|not implemented|bad gateway|unavailable|service error
+error|status|fehler|erreur|código|code|the server|server at|server could|server was|seite|adresse|página|pagina|enlace|introuvable|find the page|find that page|out of date|page has moved|never existed
+you asked for|you requested|you are looking for|available|access denied|permission to|slow down|checking|verify|maintenance|establishing a|unexpected error|went wrong|traceback|file "|exception|upstream connect
+reset reason|connection|javascript|scripts|scripting|cookies|text goes here|text here|content here|title here|copy here|description here|headline here|replace this|sample p|test p|to edit|body text|heading|dummy
+placeholder|to follow|to come|coming soon|blindtext|relleno|faux|tbd|xxx|test test|test, test|test-test|asdf|lorem|sorry|<|warning|notice|fatal|parse error|uncaught|deprecated|failed to open|no such file|stack trace
+segmentation|out of memory|cannot get|cannot post|session|try again later|reload|contact the|index of /|it works!|hello world|untitled|under construction|nginx|apache|for sale|is parked|mustertext|platzhalter
+texto de|texte|quick brown fox|serverfehler|servidor|serveur|zugriff|acceso|accès|acces|anfragen|solicitudes|peticiones|requêtes|requetes|inhalt|contenido|contenu|mantenimiento|wartung
+""".replace("\n", "|").strip("|").split("|")
+_ODD = re.compile(r"[{}\[\]<%@*$&#]|__|NaN|undefined|null of")
 _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“\n]{1,200}“|«[^»\n]{1,200}»")
 _HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b")
 _HEX = re.compile(r"\b(?=[a-f]*\d)[0-9a-f]{4,}\b")
 _DIGITS = re.compile(r"\d+")
+_DOTTED = re.compile(r"\w\.[a-z]")
 _TOKEN = re.compile(r"\w+")
 
 
+@cache
+def _triggers() -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for word in _TRIGGERS:
+        automaton.add_word(word, word)
+    automaton.make_automaton()
+    return automaton
+
+
+def _low(line: str) -> str:
+    return (line if line.isascii() else unicodedata.normalize("NFKC", line)).lower()
+
+
 def label(line: str) -> int:
     """The trusted label of one line: MESSAGE, PLACEHOLDER or NONE."""
-    if _PLACEHOLDER.search(line):
+    if _ODD.search(line) and _PLACEHOLDER.search(line):
         return PLACEHOLDER
-    low = unicodedata.normalize("NFKC", line).lower()
-    bare = _QUOTED.sub(" ", low) if '"' in low or "“" in low or "„" in low or "«" in low else low
-    if _MESSAGE.search(bare) or (bare is not low and low.lstrip().startswith("file ") and _MESSAGE.search(low)):
+    low = _low(line)
+    if next(_triggers().iter(low), None):
+        bare = _QUOTED.sub(" ", low) if '"' in low or "“" in low or "„" in low or "«" in low else low
+        if _MESSAGE.search(bare) or (bare is not low and low.lstrip().startswith("file ") and _MESSAGE.search(low)):
+            return MESSAGE
+    if _WORK_NOTE.match(line):
         return MESSAGE
+    if not any(t.strip(",.") in _LATIN for t in low.split(None, 8)[:8]):
+        return NONE
     tokens = _TOKEN.findall(low)
-    return MESSAGE if _WORK_NOTE.match(line) or len(tokens) >= 4 and sum(t in _LATIN for t in tokens) >= 0.7 * len(tokens) else NONE
+    return MESSAGE if len(tokens) >= 4 and sum(t in _LATIN for t in tokens) >= 0.7 * len(tokens) else NONE
 
 
 def unit(line: str) -> str:
     """The line without what varies between copies of a message: letter case, hosts, ids, numbers, spacing."""
-    low = unicodedata.normalize("NFKC", line).lower()
-    return " ".join(_DIGITS.sub("0", _HEX.sub("#", _HOST.sub("@", low))).split())
+    low = _low(line)
+    if _DOTTED.search(low):
+        low = _HOST.sub("@", low)
+    if _DIGITS.search(low):
+        low = _DIGITS.sub("0", _HEX.sub("#", low))
+    return " ".join(low.split())
 
 
 def simhashes(units: list[str]) -> np.ndarray:
     """64-bit SimHash of each text over its words and pairs of words."""
-    lists = [(ts := _TOKEN.findall(u)) + [f"{a} {b}" for a, b in zip(ts, ts[1:])] or [u] for u in units]
-    flat = [t for ts in lists for t in ts]
-    seen = dict.fromkeys(flat)
-    where = {t: i for i, t in enumerate(seen)}
-    hashes = np.array([xxhash.xxh3_64_intdigest(t) for t in seen], dtype=np.uint64)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int8) * 2 - 1
-    codes = np.fromiter(map(where.__getitem__, flat), dtype=np.int64, count=len(flat))
-    starts = np.concatenate(([0], np.cumsum([len(ts) for ts in lists])[:-1]))
-    votes = np.add.reduceat(bits[codes], starts, axis=0, dtype=np.int32)
+    lists = [_TOKEN.findall(u) or [u] for u in units]
+    votes = np.zeros((len(units), 64), dtype=np.int32)
+    for k in (1, 2):
+        hashes, offsets = batch_shingles(lists, k)
+        some = np.flatnonzero(np.diff(offsets))
+        if len(some):
+            bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            ones = np.add.reduceat(bits, offsets[some], axis=0, dtype=np.int32)
+            votes[some] += 2 * ones - np.diff(offsets)[some][:, None].astype(np.int32)
     return np.packbits(votes > 0, axis=1, bitorder="little").copy().view(np.uint64).ravel()
 
 
