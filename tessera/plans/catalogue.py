@@ -17,3 +17,8 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return _all("SQL")
+
+
+def FLAGSHIP(spark, sf_dir: str):  # noqa: ANN001, ANN201, N802
+    """Holdout cases by the sentences that also stand in a dev case."""
+    return queries()["sentence_matches"](spark, sf_dir)
