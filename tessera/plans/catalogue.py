@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("operators.instants", "operators.versions", "operators.merges", "operators.relations", "operators.reports", "operators.texts")
+MODULES: tuple[str, ...] = ("operators.instants", "operators.versions", "operators.merges", "operators.relations", "operators.reports", "operators.texts", "operators.records")
 
 
 def _all(name: str) -> dict:
