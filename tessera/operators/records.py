@@ -181,7 +181,7 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = load(spark, sf_dir, "evidence", "id", "fetched_at")
     newest = e.orderBy(F.desc("fetched_at"), F.desc("id")).limit(25).agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct((-F.unix_micros("fetched_at")).alias("t"), (-F.col("id")).alias("i")))), lambda x: -x["i"])).alias("newest"))
     counts = load(spark, sf_dir, "fetch_attempts", "id").agg(F.countDistinct("id").alias("attempts"))
-    return e.agg(F.count("*").alias("evidence")).join(F.broadcast(counts)).join(F.broadcast(newest))  # one row each
+    return e.agg(F.count("*").alias("evidence")).select("evidence", counts.scalar().alias("attempts"), newest.scalar().alias("newest"))
 
 
 def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:

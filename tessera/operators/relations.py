@@ -64,8 +64,7 @@ def due_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Permitted urls whose last attempt is over a week before the newest attempt, oldest first, 500 at most."""
     attempts = deliveries(spark, sf_dir, "id", "url", "attempted_at", "robots_status").filter("url is not null")
     last = latest(attempts, "url", ["attempted_at", "id"]).filter("robots_status is null or robots_status <> 'disallowed'")
-    newest = attempts.agg(F.max("attempted_at").alias("now"))
-    due = last.join(F.broadcast(newest), F.col("attempted_at") < F.col("now") - F.expr("interval 7 days"))  # one row
+    due = last.filter(F.col("attempted_at") < attempts.agg(F.max("attempted_at")).scalar() - F.expr("interval 7 days"))
     return due.orderBy("attempted_at", "url").limit(500).select("url", F.unix_micros("attempted_at").alias("last_us"))
 
 
