@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.residue import MESSAGE, NONE, label
+from tessera.llm.residue import MESSAGE, NONE, label, triggers
 from tessera.sources.tables import load, spread
 
 WINDOW, SURGE = 3, 45
@@ -71,6 +71,11 @@ _HEADS = re.compile(
 )
 _WHOLE_LINE = re.compile("(?:" + "|".join(f"(?:{p})" for p in _WHOLE) + r")\W*", re.I)
 _PARTS = re.compile("|".join(_PART), re.I)
+#: A line that _PARTS matches contains one of these.
+_PART_TRIGGERS = tuple(
+    "©|copyright|(c)|rights reserved|rechte vorbehalten|los derechos|tous droits|registered office|family of sites|angebot von|sitio de|site d|of this website|terms of use|household goods on its|prices were correct|commission from|at no cost|"
+    "replaces the advice|made with care|do not sell|follow us|affiliate|cookies|traceurs|partners store|store information|privacy|in the settings|choose what".split("|")
+)
 _POINTERS = re.compile("(?:" + "|".join(_POINTER) + r")\W*", re.I)
 _SEPARATED = re.compile(r"\s(?:[|•·/>»›]|&gt;|&raquo;)\s")
 _ITEM = re.compile(
@@ -106,14 +111,14 @@ def shape(line: str) -> int:
         return BLANK
     if _POINTERS.fullmatch(line):
         return POINTER
-    if _WHOLE_LINE.fullmatch(line) or _PARTS.search(line):
+    if _WHOLE_LINE.fullmatch(line) or (next(triggers(_PART_TRIGGERS).iter(line.lower()), None) and _PARTS.search(line)):
         return FURNITURE
     words = line.count(" ") + 1
     if _SEPARATED.search(line) and not _END.search(line) and len(line) < 400:
         return FURNITURE
     if _HEADS.fullmatch(line):
         return HEAD
-    if words >= 3 and _MORE.search(line):
+    if words >= 3 and _MORE.search(line[-60:]):
         return TEASER
     if (words >= 4 and _END.search(line)) or _STEP.match(line) or _NOTICE.fullmatch(line) or label(line) != NONE:
         return SENTENCE

@@ -154,15 +154,15 @@ _WORK_NOTE = re.compile(r"^\W*(?:TODO|FIXME|TBD|TKTK|TK)\b(?!\w)")
 _MESSAGE = re.compile("|".join(f"(?:{p})" for p in _MESSAGES))
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in _PLACEHOLDERS))
 #: A message contains one of these; lines without any skip the patterns.
-_TRIGGERS = """
+_TRIGGERS = tuple("""
 bad request|unauthori|payment required|forbidden|not found|not allowed|not acceptable|time-out|timeout|conflict|gone|too many requests|server error|not implemented|bad gateway|unavailable|service error
 error|status|fehler|erreur|código|code|the server|server at|server could|server was|seite|adresse|página|pagina|enlace|introuvable|find the page|find that page|out of date|page has moved|never existed
-you asked for|you requested|you are looking for|available|access denied|permission to|slow down|checking|verify|maintenance|establishing a|unexpected error|went wrong|traceback|file "|exception|upstream connect
+you asked for|you requested|you are looking for|is not|no longer|not currently|currently not|temporarily|nicht verf|nicht mehr|nicht err|leider|disponible|access denied|permission to|slow down|checking|verify|for maintenance|scheduled maintenance|en maintenance|establishing a|unexpected error|went wrong|traceback|file "|exception|upstream connect
 reset reason|connection|javascript|scripts|scripting|cookies|text goes here|text here|content here|title here|copy here|description here|headline here|replace this|sample p|test p|to edit|body text|heading|dummy
-placeholder|to follow|to come|coming soon|blindtext|relleno|faux|tbd|xxx|test test|test, test|test-test|asdf|lorem|sorry|<|warning|notice|fatal|parse error|uncaught|deprecated|failed to open|no such file|stack trace
-segmentation|out of memory|cannot get|cannot post|session|try again later|reload|contact the|index of /|it works!|hello world|untitled|under construction|nginx|apache|for sale|is parked|mustertext|platzhalter
+placeholder|to follow|to come|coming soon|blindtext|relleno|faux|tbd|xxx|test test|test, test|test-test|asdf|lorem|sorry|<|warning|notice:|notice :|fatal|parse error|uncaught|deprecated|failed to open|no such file|stack trace
+segmentation|out of memory|cannot get|cannot post|session has|session exp|session timed|try again later|reload|contact the|index of /|it works!|hello world|untitled|under construction|nginx|apache|for sale|is parked|mustertext|platzhalter
 texto de|texte|quick brown fox|serverfehler|servidor|serveur|zugriff|acceso|accès|acces|anfragen|solicitudes|peticiones|requêtes|requetes|inhalt|contenido|contenu|mantenimiento|wartung
-""".replace("\n", "|").strip("|").split("|")
+""".replace("\n", "|").strip("|").split("|"))
 _ODD = re.compile(r"[{}\[\]<%@*$&#]|__|NaN|undefined|null of")
 _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“\n]{1,200}“|«[^»\n]{1,200}»")
 _HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b")
@@ -173,9 +173,10 @@ _TOKEN = re.compile(r"\w+")
 
 
 @cache
-def _triggers() -> ahocorasick.Automaton:
+def triggers(words: tuple[str, ...]) -> ahocorasick.Automaton:
+    """An automaton that finds any of the words."""
     automaton = ahocorasick.Automaton()
-    for word in _TRIGGERS:
+    for word in words:
         automaton.add_word(word, word)
     automaton.make_automaton()
     return automaton
@@ -190,7 +191,7 @@ def label(line: str) -> int:
     if _ODD.search(line) and _PLACEHOLDER.search(line):
         return PLACEHOLDER
     low = _low(line)
-    if next(_triggers().iter(low), None):
+    if next(triggers(_TRIGGERS).iter(low), None):
         bare = _QUOTED.sub(" ", low) if '"' in low or "“" in low or "„" in low or "«" in low else low
         if _MESSAGE.search(bare) or (bare is not low and low.lstrip().startswith("file ") and _MESSAGE.search(low)):
             return MESSAGE
