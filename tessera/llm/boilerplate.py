@@ -102,7 +102,7 @@ def _folded(text: str) -> str:
     return " ".join(_WORD.findall(unicodedata.normalize("NFKC", text).lower()))
 
 
-BLANK, FURNITURE, POINTER, TEASER, SENTENCE, ITEM, HEAD, SHORT = range(8)
+BLANK, FURNITURE, POINTER, TEASER, SENTENCE, ITEM, HEAD, SHORT, LONG = range(9)
 
 
 def shape(line: str) -> int:
@@ -124,10 +124,11 @@ def shape(line: str) -> int:
         return SENTENCE
     if words <= 12 and _ITEM.match(line):
         return ITEM
-    return SHORT
+    # prose that lost its full stop, unlike a row of menu entries
+    return LONG if words >= 10 and sum(w[:1].isupper() for w in line.split()) < 0.5 * words else SHORT
 
 
-_MASS = {BLANK: 0.0, FURNITURE: 0.0, POINTER: 0.0, TEASER: 0.0, SENTENCE: 1.0, ITEM: 0.7, HEAD: 0.4, SHORT: 0.15}
+_MASS = {BLANK: 0.0, FURNITURE: 0.0, POINTER: 0.0, TEASER: 0.0, SENTENCE: 1.0, ITEM: 0.7, HEAD: 0.4, SHORT: 0.15, LONG: 0.3}
 
 
 def boilerplate_lines(text: str, titles: tuple[str, ...] = (), known: dict[str, int] | None = None) -> list[int]:
@@ -155,31 +156,27 @@ def boilerplate_lines(text: str, titles: tuple[str, ...] = (), known: dict[str,
     title = next((i for i in reversed(before) if shapes[i] not in (FURNITURE, POINTER) and _folded(lines[i]) in own), None)
     if title is None:
         title = next((i for i in filled if i >= surge and _folded(lines[i]) in own and shapes[i] != FURNITURE and i < surge + 3), None)
-    if title is None and before and shapes[before[-1]] in (SHORT, TEASER) and lines[before[-1]].count(" ") >= 3 and label(lines[surge]) != MESSAGE:
+    if title is None and before and shapes[before[-1]] in (SHORT, LONG, TEASER) and lines[before[-1]].count(" ") >= 3 and label(lines[surge]) != MESSAGE:
         title = before[-1]
     first = surge if title is None else min(title, surge)
     dive = max(i for i in filled if shapes[i] in (SENTENCE, ITEM))
-    out, listing, last_short = [], False, False
+    out, listing = [], False
     for i in filled:
         s = shapes[i]
         if i == title:
             continue
         if s in (FURNITURE, POINTER):
             out.append(i + 1)
-            listing, last_short = s == POINTER or (listing and s == FURNITURE), False
-        elif i < first or i > dive:
+            listing = s == POINTER or (listing and s == FURNITURE)
+        elif i < first or (i > dive and (s != LONG or listing)):
             out.append(i + 1)
-            last_short = False
         elif s == TEASER:
             out.append(i + 1)
-        elif listing and s == SHORT:
+        elif listing and s in (SHORT, LONG):
             # a pointer's title, or its summary cut off in the middle of a sentence
             out.append(i + 1)
-            last_short = True
-        elif s == SHORT and lines[i].count(" ") >= 6 and len(lines[i]) > 40 and last_short:
-            out.append(i + 1)
         else:
-            listing, last_short = False, False
+            listing = False
     return out
 
 
