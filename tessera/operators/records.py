@@ -52,6 +52,34 @@ def bound(rows: DataFrame) -> DataFrame:
     return rows.select("id", "text", "units").mapInPandas(run, "id long, n int, start int, end int, how string")
 
 
+def retry_after(value: str, now: str) -> F.Column:
+    """Seconds to wait by a Retry-After header (column `value`) at the instant `now` (column): a whole number, or an HTTP
+    date; null for anything else and for dates that have passed."""
+    text = F.trim(F.col(value))
+    # a pattern with the weekday's name isn't supported, so it goes
+    date = F.try_to_timestamp(F.regexp_replace(text, "^[A-Za-z]+, *", ""), F.lit("dd MMM yyyy HH:mm:ss z"))
+    wait = F.unix_seconds(date) - F.unix_seconds(F.col(now))
+    return F.coalesce(F.when(text.rlike("^[0-9]{1,9}$"), text.try_cast("long")), F.when(wait > 0, wait))
+
+
+def manifest_drift(frozen: DataFrame, current: DataFrame) -> DataFrame:
+    """(name, drift) of files that were changed, removed or added between two manifests (name, sha256)."""
+    o, n = frozen.select("name", F.col("sha256").alias("old")), current.select("name", F.col("sha256").alias("new"))
+    drift = F.when(F.col("new").isNull(), "removed").when(F.col("old").isNull(), "added").when(F.col("old") != F.col("new"), "changed")
+    return o.join(n, "name", "full").select("name", drift.alias("drift")).filter("drift is not null")
+
+
+def forest_faults(edges: DataFrame, child: str, parent: str, deepest: int = 4) -> DataFrame:
+    """(child, fault): unknown_parent, too_deep (more than `deepest` steps to the top) or cycle, where there is one."""
+    up = edges.select(F.col(child).alias("_c"), F.col(parent).alias("_p"))
+    at = edges.select(child, F.col(parent).alias("_at"), F.lit(False).alias("_loop"))
+    unknown = edges.join(up.select(F.col("_c").alias(parent)), parent, "left_anti").filter(F.col(parent).isNotNull()).select(child, F.lit("unknown_parent").alias("fault"))
+    for _ in range(deepest):
+        at = at.join(up, at["_at"] == up["_c"], "left").select(child, F.col("_p").alias("_at"), (F.col("_loop") | F.coalesce(F.col("_at") == F.col(child), F.lit(False))).alias("_loop"))
+    far = at.select(child, F.when(F.col("_loop"), "cycle").when(F.col("_at").isNotNull(), "too_deep").alias("fault")).filter("fault is not null")
+    return unknown.union(far)
+
+
 def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = load(spark, sf_dir, "evidence_text", "evidence_id", "text").filter("text is not null")
     lines = t.select("evidence_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
