@@ -151,18 +151,28 @@ def independent_publishers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("content_hash").agg(F.countDistinct("url").alias("urls"), F.countDistinct("publisher_id").alias("publishers"), F.countDistinct("root").alias("owners")).filter("urls > 1")
 
 
+def ancestry(links: DataFrame) -> DataFrame:
+    """(id, ancestor, depth): all that each row of `links` (id, ancestor), one row an id, comes from, with the distance.
+
+    By pointer doubling: a round joins each id's ancestor at 2^r steps with what that one reaches within 2^r steps, so a
+    chain of n links takes log n rounds. Of a cycle each member comes out once, at its least distance."""
+    every = persisted(links.filter("ancestor is not null").select("id", "ancestor", F.lit(1).cast("long").alias("depth")))
+    jump, reach = every.select("id", "ancestor"), 1
+    while True:
+        onward = every.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_a"), "depth")
+        met = jump.join(onward, "ancestor").groupBy("id", F.col("_a").alias("ancestor")).agg((F.min("depth") + reach).alias("depth"))
+        new = persisted(met.join(every.select("id", "ancestor"), ["id", "ancestor"], "left_anti").select("id", "ancestor", "depth"))
+        if new.isEmpty():
+            return every
+        # an id without new ancestors is done; one that leads to it has met all of them in this round
+        far = jump.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("_a"))
+        jump = persisted(jump.join(new.select("id").distinct(), "id", "left_semi").join(far, "ancestor").select("id", F.col("_a").alias("ancestor")))
+        every, reach = every.union(new), 2 * reach
+
+
 def version_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All ancestors of each evidence row along supersedes_id, with their distance, up to 20 steps."""
-    step = load(spark, sf_dir, "evidence", "id", "supersedes_id").filter("supersedes_id is not null")
-    up = step.select(F.col("id").alias("_i"), F.col("supersedes_id").alias("_s"))
-    at, every = step.select("id", F.col("supersedes_id").alias("ancestor")), None
-    for depth in range(1, 21):
-        here = at.withColumn("depth", F.lit(depth).cast("long"))
-        every = here if every is None else every.union(here)
-        at = persisted(at.join(up, F.col("ancestor") == F.col("_i")).select("id", F.col("_s").alias("ancestor")))
-        if at.isEmpty():
-            break
-    return every
+    """All ancestors of each evidence row along supersedes_id, with their distance."""
+    return ancestry(load(spark, sf_dir, "evidence", "id", "supersedes_id").select("id", F.col("supersedes_id").alias("ancestor")))
 
 
 def content_components(spark: SparkSession, sf_dir: str) -> DataFrame:

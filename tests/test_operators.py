@@ -1,7 +1,7 @@
 import random
 
 from tessera.operators.merges import insert_or_ignore, upsert
-from tessera.operators.relations import components, reserved_top, roots
+from tessera.operators.relations import ancestry, components, reserved_top, roots
 from tessera.operators.reports import all_failing, classify, first_failing
 from tessera.operators.texts import folded, rejoined, sentence_key, sentences
 from tessera.operators.versions import first_contents, latest, numbered
@@ -59,6 +59,21 @@ def test_roots_end_at_unknown_parents_and_cycles(spark):
     assert out["c"] == ("a", 2) and out["d"] == ("d", 0) and out["a"] == ("a", 0) and out["x"][1] == 5
 
 
+def test_ancestry_of_long_chains_and_cycles(spark):
+    links = [(i, i - 1) for i in range(1, 46)] + [(100, 45), (0, None), (200, 201), (201, 202), (202, 200), (203, 200), (300, 300)]
+    of, expected = dict(links), set()
+    for start in of:
+        at, depth, met = of[start], 1, set()
+        while at is not None and at not in met:
+            met.add(at)
+            expected.add((start, at, depth))
+            at, depth = of.get(at), depth + 1
+    rows = spark.createDataFrame(links, "id long, ancestor long")
+    got = [tuple(r) for r in ancestry(rows).collect()]
+    assert len(got) == len(expected) and set(got) == expected and max(d for *_, d in got) == 46
+    assert ancestry(rows.limit(0)).count() == 0
+
+
 def test_reserved_top(spark):
     rows = spark.createDataFrame([(i, i < 8) for i in range(12)], "id int, seen boolean")
     out = [r["id"] for r in reserved_top(rows, 6, [F.asc("id")], ~F.col("seen")).collect()]
