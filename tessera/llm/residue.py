@@ -14,9 +14,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
 from itertools import combinations
+from re import _parser as sre
 
 import ahocorasick
 import numpy as np
@@ -119,7 +120,7 @@ _MESSAGES = rf"""
 \b(?:seite|inhalt) (?:ist|steht) (?:derzeit |leider )*nicht (?:mehr )?(?:verf[uü]gbar|erreichbar)\b
 \bp[aá]gina no est[aá] disponible\b|\bcontenido no est[aá] disponible\b
 \b(?:page|contenu) n['’]est (?:pas|plus) disponible\b
-\b(?:site|sitio|p[aá]gina|seite) (?:est|est[aá]|ist)\b.{0,20}\b(?:maintenance|mantenimiento|wartung)\b
+\b(?:site|sitio|p[aá]gina|seite) (?:est|est[aá]|ist)\b.{{0,20}}\b(?:maintenance|mantenimiento|wartung)\b
 \bjavascript (?:ist|est|est[aá]) (?:deaktiviert|d[eé]sactiv[eé]|desactivado)\b
 """.strip().splitlines()
 _LATIN = set(
@@ -151,18 +152,8 @@ __[A-Za-z]\w*?__
 (?:\{{\{{+|\$\{{|\#\{{|\{{%|<%=?|%%|@@|\*\||\[\[|%\()\s*[A-Za-z_][\w. ]{{0,40}}$
 """.strip().splitlines()
 _WORK_NOTE = re.compile(r"^\W*(?:TODO|FIXME|TBD|TKTK|TK)\b(?!\w)")
-_MESSAGE = re.compile("|".join(f"(?:{p})" for p in _MESSAGES))
+_MESSAGE = [re.compile(p) for p in _MESSAGES]
 _PLACEHOLDER = re.compile("|".join(f"(?:{p})" for p in _PLACEHOLDERS))
-#: A message contains one of these; lines without any skip the patterns.
-_TRIGGERS = tuple("""
-bad request|unauthori|payment required|forbidden|not found|not allowed|not acceptable|time-out|timeout|conflict|gone|too many requests|server error|not implemented|bad gateway|unavailable|service error
-error|status|fehler|erreur|código|code|the server|server at|server could|server was|seite|adresse|página|pagina|enlace|introuvable|find the page|find that page|out of date|page has moved|never existed
-you asked for|you requested|you are looking for|is not|no longer|not currently|currently not|temporarily|nicht verf|nicht mehr|nicht err|leider|disponible|access denied|permission to|slow down|checking|verify|for maintenance|scheduled maintenance|en maintenance|establishing a|unexpected error|went wrong|traceback|file "|exception|upstream connect
-reset reason|connection|javascript|scripts|scripting|cookies|text goes here|text here|content here|title here|copy here|description here|headline here|replace this|sample p|test p|to edit|body text|heading|dummy
-placeholder|to follow|to come|coming soon|blindtext|relleno|faux|tbd|xxx|test test|test, test|test-test|asdf|lorem|sorry|<|warning|notice:|notice :|fatal|parse error|uncaught|deprecated|failed to open|no such file|stack trace
-segmentation|out of memory|cannot get|cannot post|session has|session exp|session timed|try again later|reload|contact the|index of /|it works!|hello world|untitled|under construction|nginx|apache|for sale|is parked|mustertext|platzhalter
-texto de|texte|quick brown fox|serverfehler|servidor|serveur|zugriff|acceso|accès|acces|anfragen|solicitudes|peticiones|requêtes|requetes|inhalt|contenido|contenu|mantenimiento|wartung
-""".replace("\n", "|").strip("|").split("|"))
 _ODD = re.compile(r"[{}\[\]<%@*$&#]|__|NaN|undefined|null of")
 _QUOTED = re.compile(r"\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|„[^“\n]{1,200}“|«[^»\n]{1,200}»")
 _HOST = re.compile(r"\b[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}\b")
@@ -182,6 +173,74 @@ def triggers(words: tuple[str, ...]) -> ahocorasick.Automaton:
     return automaton
 
 
+#: Strings that a stretch of a pattern may stand for, at most.
+_SPELLINGS = 400
+
+
+def _spellings(node: tuple) -> tuple[set[str] | None, set[str] | None]:
+    """Of a node of a parsed pattern: all strings that it can match, if they are few, and strings of which each match holds one."""
+    op, arg = node
+    if op is sre.LITERAL:
+        return {chr(arg)}, {chr(arg)}
+    if op is sre.IN and all(x[0] is sre.LITERAL for x in arg):
+        return (every := {chr(x[1]) for x in arg}), every
+    if op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT):
+        return {""}, None
+    if op is sre.SUBPATTERN:
+        return _sequence(arg[-1])
+    if op is sre.BRANCH:
+        parts = [_sequence(x) for x in arg[1]]
+        exact, held = ({s for p in parts for s in p[n]} if all(p[n] for p in parts) else None for n in (0, 1))
+        return exact if exact and len(exact) <= _SPELLINGS else None, held
+    if op is sre.MAX_REPEAT:
+        least, most, inner = arg
+        exact, held = _sequence(inner)
+        return exact | {""} if exact and least == 0 and most == 1 else None, held if least else None
+    return None, None
+
+
+def _sequence(nodes: Iterable[tuple]) -> tuple[set[str] | None, set[str] | None]:
+    whole, run, best = True, {""}, [set()]
+    for node in nodes:
+        exact, held = _spellings(node)
+        if held:
+            best.append(held)
+        grown = {x + y for x in run for y in exact} if exact else set()
+        if not 0 < len(grown) <= _SPELLINGS:
+            whole, grown = False, exact or {""}
+            best.append(run)
+        run = grown
+    held = max([*best, run], key=lambda strings: min(map(len, strings), default=0))
+    return run if whole else None, held if min(map(len, held), default=0) else None
+
+
+def needed(pattern: str) -> set[str]:
+    """Strings of which every match of the pattern holds at least one."""
+    held = _sequence(sre.parse(pattern))[1]
+    if not held:
+        raise ValueError(f"a match of {pattern} needs no fixed string")
+    return {s for s in held if not any(t in s and t != s for t in held)}
+
+
+@cache
+def _messages_by_string() -> ahocorasick.Automaton:
+    """An automaton of the needed strings of _MESSAGES; the value of each is the numbers of its patterns."""
+    of: dict[str, tuple[int, ...]] = {}
+    for n, pattern in enumerate(_MESSAGES):
+        for s in needed(pattern):
+            of[s] = (*of.get(s, ()), n)
+    automaton = ahocorasick.Automaton()
+    for s, numbers in of.items():
+        automaton.add_word(s, numbers)
+    automaton.make_automaton()
+    return automaton
+
+
+def _says(low: str) -> bool:
+    """Whether any of _MESSAGES matches; only those are tried of which the line holds a needed string."""
+    return any(_MESSAGE[n].search(low) for n in {n for _, numbers in _messages_by_string().iter(low) for n in numbers})
+
+
 def _low(line: str) -> str:
     return (line if line.isascii() else unicodedata.normalize("NFKC", line)).lower()
 
@@ -191,16 +250,13 @@ def label(line: str) -> int:
     if _ODD.search(line) and _PLACEHOLDER.search(line):
         return PLACEHOLDER
     low = _low(line)
-    if next(triggers(_TRIGGERS).iter(low), None):
-        bare = _QUOTED.sub(" ", low) if '"' in low or "“" in low or "„" in low or "«" in low else low
-        if _MESSAGE.search(bare) or (bare is not low and low.lstrip().startswith("file ") and _MESSAGE.search(low)):
-            return MESSAGE
+    bare = _QUOTED.sub(" ", low) if '"' in low or "“" in low or "„" in low or "«" in low else low
+    if _says(bare) or (bare is not low and low.lstrip().startswith("file ") and _says(low)):
+        return MESSAGE
     if _WORK_NOTE.match(line):
         return MESSAGE
-    if not any(t.strip(",.") in _LATIN for t in low.split(None, 8)[:8]):
-        return NONE
     tokens = _TOKEN.findall(low)
-    return MESSAGE if len(tokens) >= 4 and sum(t in _LATIN for t in tokens) >= 0.7 * len(tokens) else NONE
+    return MESSAGE if len(tokens) >= 4 and sum(map(_LATIN.__contains__, tokens)) >= 0.7 * len(tokens) else NONE
 
 
 def unit(line: str) -> str:

@@ -1,5 +1,7 @@
 import base64
 import random
+import re
+from re import _parser as sre
 
 import numpy as np
 import pytest
@@ -9,7 +11,7 @@ from tessera.llm.boosting import Boosted, isotonic
 from tessera.llm.near_duplicates import joint_likeness, merge, registers
 from tessera.llm.packing import best_fit, plan, reduction
 from tessera.llm.reading_level import NAMES, features
-from tessera.llm.residue import MESSAGE, NONE, PLACEHOLDER, label, similarity, simhashes, unit
+from tessera.llm.residue import _MESSAGES, MESSAGE, NONE, PLACEHOLDER, label, needed, similarity, simhashes, unit
 from tessera.llm.shingles import batch_shingles, distinct_shingles, jaccard, mix, shingle_hashes, words
 from tessera.llm.split_overlap import WINDOW, chain, winnowed
 from tessera.llm.tokens import PATTERN, RANKS, Encoder
@@ -147,6 +149,54 @@ def test_messages(line):
     assert label(line) == MESSAGE
 
 
+@pytest.mark.parametrize(
+    "line",
+    [
+        "The page could not be found.", "404 | This page could not be found.", "The requested page could not be found.", "Le site est fermé pour maintenance", "test. test. test", 'could not"x"page not found',
+        "Here begins a b c d e: " + "lorem, ipsum, dolor " * 8,
+    ],
+)
+def test_messages_without_usual_words(line):
+    assert label(line) == MESSAGE
+
+
+def wording(nodes, rng):
+    """A string that a parsed pattern matches, of alternatives drawn at random."""
+    out = ""
+    for op, arg in nodes:
+        if op is sre.BRANCH:
+            out += wording(rng.choice(arg[1]), rng)
+        elif op is sre.SUBPATTERN:
+            out += wording(arg[-1], rng)
+        elif op is sre.MAX_REPEAT:
+            out += "".join(wording(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 1))))
+        elif op is sre.LITERAL:
+            out += chr(arg)
+        elif op is sre.IN:
+            out += next((chr(x) for k, x in arg if k is sre.LITERAL), None) or next(c for c in ", 7x" if re.match(pattern_of_class(arg), c))
+        elif op in (sre.ANY, sre.NOT_LITERAL):
+            out += " "
+    return out
+
+
+def pattern_of_class(arg):
+    names = {sre.CATEGORY_WORD: r"\w", sre.CATEGORY_NOT_WORD: r"\W", sre.CATEGORY_DIGIT: r"\d", sre.CATEGORY_SPACE: r"\s", sre.CATEGORY_NOT_SPACE: r"\S"}
+    return "[" + "".join("^" if k is sre.NEGATE else names[x] if k is sre.CATEGORY else f"{chr(x[0])}-{chr(x[1])}" if k is sre.RANGE else re.escape(chr(x)) for k, x in arg) + "]"
+
+
+def test_needed_strings_miss_no_match():
+    rng = random.Random(7)
+    for pattern in _MESSAGES:
+        tried = 0
+        for _ in range(400):
+            line = wording(sre.parse(pattern), rng)
+            if re.search(pattern, line):
+                tried += 1
+                assert any(s in line for s in needed(pattern)), (pattern, line)
+                assert '"' in line or label(line) != NONE, (pattern, line)
+        assert tried, pattern
+
+
 @pytest.mark.parametrize("line", ["By {{ item.0.label }} on Monday", "${title}", "Hello %%NAME%%, thanks", "__TITLE__", "*|DISH|*", "[insert step text here]", "[object Object]", "Total time: NaN minutes.", "&lt;site.name&gt;", "$AUTHOR_NAME$", "{% block dish %} cups", "cut {{ page.hea"])
 def test_placeholders(line):
     assert label(line) == PLACEHOLDER
