@@ -1,16 +1,14 @@
-"""The same or almost the same text in two splits, by winnowed fingerprints.
-
-A text's fingerprints are the least hashes of each WINDOW consecutive shingles. Two texts that share a run of WINDOW
-shingles share its fingerprint; texts with a likeness of 0.6 or more share runs of that length. What is joined across
-the splits is seeds: for texts of up to SHORT shingles single fingerprints, for longer ones pairs of consecutive
-fingerprints, which a shared run of 2 x WINDOW holds and which are far rarer in texts with common phrases.
-
-Seeds are joined rarest first: of each text's seeds the most frequent DROPPED share (counted exactly, over both splits) is
-left out, because texts that are alike share a larger part of their seeds than that (a third of the pairs, over half of
-the single ones, even if edits are spread evenly). Thus no seed of a phrase that a third of all texts hold is ever
-joined, and no text is left out. Pairs of texts with enough common seeds are verified: collinear seeds are chained,
-extended over equal words to both sides, the coverage of both texts is measured, and the likeness is computed exactly.
-Texts with equal words form a class, of which one member is compared.
+"""The same or almost the same text in two splits, by an exact prefix filter and chains of winnowed fingerprints.
+
+Two texts with a likeness of t or more share at least ceil(t x n) of the n distinct shingles of either. So if the shingles
+of all texts are put in one order, the first n - ceil(t x n) + 1 of both texts have one in common; these are a text's
+seeds. The order puts shingles first that only one split holds, then the rare ones (counted exactly, over both splits),
+so a phrase that many texts hold is joined only where a text has little else. Common seeds are joined across the splits
+unless the numbers of shingles, or of those behind the seed, already rule the likeness out. Thus no pair is missed,
+whatever the length of the texts. What is left is verified: the likeness is computed exactly, the fingerprints of both
+texts (the least hashes of each WINDOW consecutive shingles) are chained where they are collinear, extended over equal
+words to both sides, and the coverage of both texts is measured. Texts with equal words form a class, of which one member
+is compared.
 """
 
 from __future__ import annotations
@@ -28,11 +26,6 @@ from tessera.llm.shingles import batch_shingles, jaccard, mix, shingle_hashes, s
 from tessera.sources.tables import load, persisted, spread
 
 WINDOW = 4
-SHORT, SHORT_PARTNER = 60, 100
-#: Shares of a text's most frequent seeds that are left out: of pairs of fingerprints, of single ones.
-DROPPED, DROPPED_SHORT = 0.2, 0.4
-#: Common seeds that a candidate needs, as a share of the seeds of the text that has fewer (one at least).
-COMMON = 0.08
 
 
 def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -44,15 +37,6 @@ def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     return np.unique(window - 1 - rows[:, ::-1].argmin(axis=1) + np.arange(len(rows)))
 
 
-def seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct seeds of a text's shingles, and whether each is of a single fingerprint."""
-    prints = hashes[winnowed(hashes)] if len(hashes) > 3 * WINDOW else hashes
-    pairs = mix(prints[:-1] * np.uint64(0x9E3779B185EBCA87) + prints[1:] * np.uint64(0xC2B2AE3D27D4EB4F)) if len(hashes) >= SHORT else prints[:0]
-    single = prints if len(hashes) <= SHORT_PARTNER else prints[:0]
-    pairs, single = np.unique(pairs), np.unique(single)
-    return np.concatenate([pairs, single]), np.repeat([False, True], [len(pairs), len(single)])
-
-
 def chain(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float]:
     """Coverage of two texts (their word hashes) by the collinear chain of their common fingerprints, extended over equal words."""
     h = [mix(sum((x[i : len(x) - k + 1 + i] * np.uint64(2 * i + 0x9E3779B97F4A7C15) for i in range(k)), np.uint64(0))) if len(x) >= k else x[:0] for x in (a, b)]
@@ -90,8 +74,8 @@ def chain(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float]:
     return tuple(float(c.mean()) if len(c) else 0.0 for c in covered)
 
 
-def _seeded(texts: DataFrame, k: int) -> DataFrame:
-    """(id, side, hi, lo, seeds, single) of (id STRING, side BOOLEAN, text STRING) rows with at least k words."""
+def _shingled(texts: DataFrame, k: int) -> DataFrame:
+    """(id, side, hi, lo, shingles), the distinct ones, of (id STRING, side BOOLEAN, text STRING) rows with at least k words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -99,18 +83,16 @@ def _seeded(texts: DataFrame, k: int) -> DataFrame:
                 part = whole.iloc[start : start + 1000]
                 rows = [(i, s, ts) for i, s, t in zip(part["id"], part["side"], part["text"]) if t and len(ts := words(t)) >= k]
                 values, offsets = batch_shingles([ts for *_, ts in rows], k)
-                found = [seeds(values[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
                 digests = [xxhash.xxh3_128_intdigest(" ".join(ts)) for *_, ts in rows]
                 yield pd.DataFrame({
                     "id": [i for i, *_ in rows],
                     "side": [s for _, s, _ in rows],
                     "hi": signed(np.array([d >> 64 for d in digests], dtype=np.uint64)),
                     "lo": signed(np.array([d & (2**64 - 1) for d in digests], dtype=np.uint64)),
-                    "pairs": [signed(x[~s]) for x, s in found],
-                    "single": [signed(x[s]) for x, s in found],
+                    "shingles": [signed(np.unique(values[s:e])) for s, e in zip(offsets[:-1], offsets[1:])],
                 })
 
-    return texts.mapInPandas(run, "id string, side boolean, hi long, lo long, pairs array<long>, single array<long>")
+    return texts.mapInPandas(run, "id string, side boolean, hi long, lo long, shingles array<long>")
 
 
 def overlaps(left: DataFrame, right: DataFrame, k: int = 3, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -121,19 +103,19 @@ def overlaps(left: DataFrame, right: DataFrame, k: int = 3, threshold: float = 0
     part. Ids that repeat count once a class; further columns are ignored; empty tables give empty results.
     """
     texts = left.select("id", F.lit(False).alias("side"), "text").union(right.select("id", F.lit(True).alias("side"), "text")).filter("text is not null")
-    base = persisted(_seeded(spread(texts), k))
-    reps = base.groupBy("side", "hi", "lo").agg(F.min(F.struct("id", "pairs", "single")).alias("r")).select("side", "hi", "lo", "r.*")
+    base = persisted(_shingled(spread(texts), k))
+    reps = base.groupBy("side", "hi", "lo").agg(F.min(F.struct("id", "shingles")).alias("r")).select("side", "hi", "lo", "r.*")
     members = base.select("id", "side", "hi", "lo").distinct().join(reps.select("side", "hi", "lo", F.col("id").alias("rep")), ["side", "hi", "lo"]).select("id", "side", "rep")
-    kinds = F.array(F.struct(F.lit(False).alias("one"), F.col("pairs").alias("seeds")), F.struct(F.lit(True).alias("one"), F.col("single").alias("seeds")))
-    each = reps.select("side", "id", F.explode(kinds).alias("x")).select("side", "id", "x.one", F.size("x.seeds").alias("n"), F.explode("x.seeds").alias("seed"))
-    # seeds that only one split holds join nothing; the others are ranked by how many texts hold them
-    often = each.groupBy("seed", "one").agg(F.count("*").alias("often"), F.min("side").alias("l"), F.max("side").alias("r"))
-    ranked = each.join(often, ["seed", "one"]).withColumn("rank", F.row_number().over(Window.partitionBy("side", "id", "one").orderBy("often", "seed")))
-    kept = ranked.filter(~F.col("l") & F.col("r") & (F.col("rank") <= F.col("n") - F.floor(F.col("n") * F.when(F.col("one"), DROPPED_SHORT).otherwise(DROPPED))))
-    kept = persisted(kept.select("side", "id", "one", "n", "seed"))
-    of = lambda side, name: kept.filter(F.col("side") == side).select("seed", "one", F.col("id").alias(name), F.col("n").alias(f"n_{name}"))
-    common = of(False, "a").join(of(True, "b"), ["seed", "one"]).groupBy("a", "b", "one").agg(F.count("*").alias("common"), F.min(F.least("n_a", "n_b")).alias("n"))
-    pairs = common.filter(F.col("common") >= F.greatest(F.lit(1.0), F.floor(F.col("n") * COMMON))).select("a", "b").distinct()
+    each = reps.select("side", "id", F.size("shingles").alias("n"), F.explode("shingles").alias("seed"))
+    # shingles that only one split holds come first in the order and join nothing; the others go by how many texts hold them
+    often = each.groupBy("seed").agg(F.count("*").alias("often"), F.min("side").alias("l"), F.max("side").alias("r")).filter(~F.col("l") & F.col("r")).select("seed", "often")
+    of_text = Window.partitionBy("side", "id")
+    ranked = each.join(often, "seed").withColumn("behind", F.count("*").over(of_text) - F.row_number().over(of_text.orderBy("often", "seed")))
+    # a margin of 1e-9 keeps rounding from cutting a shingle off
+    kept = persisted(ranked.filter(F.col("behind") >= F.ceil(threshold * F.col("n") - 1e-9) - 1).select("side", "id", "n", "behind", "seed"))
+    of = lambda side, name: kept.filter(F.col("side") == side).select("seed", F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("behind").alias(f"behind_{name}"))
+    met = of(False, "a").join(of(True, "b"), "seed")
+    pairs = met.filter(F.least("behind_a", "behind_b") + 1 >= F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)).select("a", "b").distinct()
     both = pairs.join(left.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(right.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -57,6 +57,24 @@ def test_overlaps_against_brute_force(spark):
     assert overlaps(of(left, "l").limit(0), of(right, "r"))[0].count() == 0
 
 
+def test_overlaps_of_short_and_repeated_texts_against_brute_force(spark):
+    rng = random.Random(8)
+    left = [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (*range(3, 101), *([15] * 150))]
+    right = [edited(rng, t, rng.choice([1, 1, 2, 3])) for t in left]
+    right += [" ".join(w for n, w in enumerate(t.split()) if n != len(t.split()) // 2) for t in left]
+    # the distinct shingles of a repeated text are as few as those of the text that is repeated
+    left += [" ".join(rng.choice(WORDS) for _ in range(n)) for n in (20, 45, 59)]
+    right += [" ".join([t] * 4) for t in left[-3:]] + ["x " * 100, "salt and jar " * 60]
+    left += ["x " * 3, "salt and jar " * 2]
+    of = lambda xs, p: spark.createDataFrame([(f"{p}{i}", t) for i, t in enumerate(xs)], "id string, text string")
+    links, members = overlaps(of(left, "l"), of(right, "r"))
+    rep = {(r["side"], r["id"]): r["rep"] for r in members.collect()}
+    linked = {(r["a"], r["b"]) for r in links.collect()}
+    a, b = ([distinct_shingles(t, 3) for t in xs] for xs in (left, right))
+    true = {(rep[False, f"l{i}"], rep[True, f"r{j}"]) for i, s in enumerate(a) for j, t in enumerate(b) if jaccard(s, t) >= 0.6}
+    assert len(true) > 200 and linked == true
+
+
 def test_token_ids_of_nulls_and_empty_texts(spark):
     rows = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "Hello <|endoftext|>", "x"), (3, "Hello <|endoftext|>", "x")], "doc_id long, text string, ids string")
     out = sorted(map(tuple, token_ids(rows).collect()))
