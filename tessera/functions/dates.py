@@ -91,6 +91,8 @@ def _local(t: datetime, zone: ZoneInfo, day_only: bool) -> int | None:
 
 
 def _bare(whole: str, fraction: str | None) -> int | None:
+    if len(whole := whole.lstrip("0") or "0") > 19:  # beyond nanoseconds
+        return None
     for unit in (10**6, 10**3, 1):
         us = int(whole) * unit
         if fraction and unit > 1:
@@ -108,7 +110,7 @@ def instant(raw: str | None, zone: str | None, order: str | None, zones: tuple[s
     abbreviations count. With trusted=False only values that carry their own offset or zone count. Empty and blank
     texts, impossible dates, relative times and texts with further digits beside the date denote nothing.
     """
-    if not raw or not any(c.isdigit() for c in raw) or len(raw) > 500:
+    if not raw or not any(c.isdigit() for c in raw):
         return None
     text = _BLANK.sub(" ", raw.replace("\u2212", "-").replace("\u2013", "-")).strip()
     home = _zone(zone) if zone and trusted else None

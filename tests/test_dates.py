@@ -62,3 +62,11 @@ def test_instant(raw, zone, order, expected):
 def test_untrusted_values_need_their_own_zone():
     assert instant("2023-02-02 10:00", "Europe/London", "DMY", ZONES, trusted=False) is None
     assert instant("2023-02-02T10:00Z", "Europe/London", "DMY", ZONES, trusted=False) == us(2023, 2, 2, 10)
+
+
+def test_long_texts_around_a_date():
+    at = us(2023, 7, 4, 7, 42, 59)
+    assert instant(" " * 600 + "2023-07-04T07:42:59Z" + "\n\t" * 600, None, None, ZONES) == at
+    assert instant("word " * 5000 + "2023-07-04T07:42:59Z by " + "word " * 5000, None, None, ZONES) == at
+    assert instant("1597775037" + " " * 600, None, None, ZONES) == 1597775037 * 10**6
+    assert instant("1" * 6000, None, None, ZONES) is None and instant("May " + "1" * 6000, None, None, ZONES) is None
