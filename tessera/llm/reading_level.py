@@ -22,6 +22,8 @@ from tessera.sources.tables import load, persisted, spread
 #: Labelled documents that the model is fitted on at most, drawn by a hash of the id; all documents are scored.
 LABELLED_MAX = 20_000
 FOLDS = 4
+#: Tokens of a run over which the variety of words is taken.
+RUN = 120
 
 # Frequent function words, and words that open subordinate clauses or join argument, by language.
 _FUNCTION = {
@@ -115,9 +117,24 @@ def features(texts: list[str]) -> np.ndarray:
     word_sd = np.sqrt(np.maximum(per(word, wl**2) / some - word_mean**2, 0))
     distinct = np.unique(doc[word] * len(of) + index[word])
     types = np.bincount(distinct // len(of), minlength=n)
-    place = np.arange(len(doc)) - np.searchsorted(doc, np.arange(n))[doc]
-    head = word & (place < 120)
-    early = np.bincount(np.unique(doc[head] * len(of) + index[head]) // len(of), minlength=n) / np.maximum(per(head), 1)
+    # variety: the mean over all runs of RUN tokens (of shorter texts the whole) of distinct words to words
+    begin = np.searchsorted(doc, np.arange(n))[doc]
+    last = begin + np.maximum(np.bincount(doc, minlength=n)[doc] - RUN, 0)
+    at_word = np.flatnonzero(word)
+    same = doc[at_word] * len(of) + index[at_word]
+    by_word = np.argsort(same, kind="stable")
+    again = np.flatnonzero(np.diff(same[by_word]) == 0) + 1
+    lower = np.maximum(at_word - RUN + 1, begin[at_word])
+    lower[by_word[again]] = np.maximum(lower[by_word[again]], at_word[by_word[again - 1]] + 1)
+    upper = np.minimum(at_word, last[at_word])
+    counted = lower <= upper
+    size = len(doc) + 1
+    run_types = np.cumsum(np.bincount(lower[counted], minlength=size) - np.bincount(upper[counted] + 1, minlength=size))[:-1]
+    before_word = np.concatenate(([0], np.cumsum(word)))
+    stop = np.minimum(np.arange(len(doc)) + RUN, (begin + np.bincount(doc, minlength=n)[doc]))
+    run_words = before_word[stop] - before_word[:-1]
+    runs = (np.arange(len(doc)) <= last) & (run_words > 0)
+    early = per(runs, run_types / np.maximum(run_words, 1)) / np.maximum(per(runs), 1)
     # cohesion: words of four letters and more that the sentence before holds, too
     content = word & (letters >= 4)
     rank = np.cumsum(real) - 1

@@ -10,7 +10,7 @@ from tessera.llm.boilerplate import boilerplate_lines
 from tessera.llm.boosting import Boosted, isotonic
 from tessera.llm.near_duplicates import joint_likeness, merge, registers
 from tessera.llm.packing import best_fit, plan, reduction
-from tessera.llm.reading_level import NAMES, features
+from tessera.llm.reading_level import NAMES, RUN, features
 from tessera.llm.residue import _MESSAGES, MESSAGE, NONE, PLACEHOLDER, label, needed, similarity, simhashes, unit
 from tessera.llm.shingles import batch_shingles, distinct_shingles, jaccard, mix, shingle_hashes, words
 from tessera.llm.split_overlap import WINDOW, chain, winnowed
@@ -137,6 +137,16 @@ def test_reading_features_are_finite():
     assert features([]).shape == (0, len(NAMES))
 
 
+def test_variety_covers_the_whole_text():
+    rng = random.Random(6)
+    texts = [text(rng, n).replace("1", "").replace("2", ", ") for n in (1, 30, 118, 125, 400)] + ["same " * 500, "same " * 120 + text(rng, 200), "1 " * 300 + "a b a", "1 2"]
+    tokens = [[t.lower() if t.isalpha() else None for t in re.findall(r"[^\W\d_]+|\d+|,", x)] for x in texts]
+    for got, ts in zip(features(texts)[:, NAMES.index("variety100")], tokens):
+        runs = [[t for t in ts[i : i + RUN] if t] for i in range(max(len(ts) - RUN, 0) + 1)]
+        ratios = [len(set(r)) / len(r) for r in runs if r] or [0]
+        assert abs(got - sum(ratios) / len(ratios)) < 1e-5
+
+
 @pytest.mark.parametrize(
     "line",
     [
