@@ -2,10 +2,10 @@
 
 Two texts with a likeness of t or more share at least ceil(t x n) of the n distinct shingles of either. So if the shingles
 of all texts are put in one order, the first n - ceil(t x n) + 1 of both texts have one in common; these are a text's
-seeds. The order puts shingles first that only one split holds, then the rare ones (counted exactly, over both splits),
-so a phrase that many texts hold is joined only where a text has little else. Common seeds are joined across the splits
-unless the numbers of shingles, or of those behind the seed, already rule the likeness out. Thus no pair is missed,
-whatever the length of the texts. What is left is verified: the likeness is computed exactly, the fingerprints of both
+seeds. The order puts shingles first that only one split holds, then those that make few pairs (counted exactly), so a
+phrase that many texts hold is joined only where a text has little else. Common seeds are joined across the splits unless the numbers of shingles, or of those behind the seed, already rule the likeness out, or the maps of BITMAP bits do:
+each bit that only one of two maps has stands for a shingle that only one text holds. Thus no pair is missed, whatever the
+length of the texts. What is left is verified: the likeness is computed exactly, the fingerprints of both
 texts (the least hashes of each WINDOW consecutive shingles) are chained where they are collinear, extended over equal
 words to both sides, and the coverage of both texts is measured. Texts with equal words form a class, of which one member
 is compared.
@@ -26,6 +26,8 @@ from tessera.llm.shingles import batch_shingles, jaccard, mix, shingle_hashes, s
 from tessera.sources.tables import load, persisted, spread
 
 WINDOW = 4
+#: Bits of the map of a text's shingles by which pairs are ruled out within the join.
+BITMAP = 256
 
 
 def winnowed(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -75,24 +77,35 @@ def chain(a: np.ndarray, b: np.ndarray, k: int) -> tuple[float, float]:
 
 
 def _shingled(texts: DataFrame, k: int) -> DataFrame:
-    """(id, side, hi, lo, shingles), the distinct ones, of (id STRING, side BOOLEAN, text STRING) rows with at least k words."""
+    """(id, side, hi, lo, text, n, bits, shingles) of (id STRING, side BOOLEAN, text STRING) rows with at least k words.
+
+    hi and lo are the 128 bits of the class of equal word sequences, shingles the n distinct ones, and bits the BITMAP
+    bits that they fall on.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             for start in range(0, len(whole), 1000):
                 part = whole.iloc[start : start + 1000]
-                rows = [(i, s, ts) for i, s, t in zip(part["id"], part["side"], part["text"]) if t and len(ts := words(t)) >= k]
+                rows = [(i, s, t, ts) for i, s, t in zip(part["id"], part["side"], part["text"]) if t and len(ts := words(t)) >= k]
                 values, offsets = batch_shingles([ts for *_, ts in rows], k)
                 digests = [xxhash.xxh3_128_intdigest(" ".join(ts)) for *_, ts in rows]
+                sets = [np.unique(values[s:e]) for s, e in zip(offsets[:-1], offsets[1:])]
+                bits = np.zeros((len(rows), BITMAP), dtype=bool)
+                for row, s in zip(bits, sets):
+                    row[s & np.uint64(BITMAP - 1)] = True
                 yield pd.DataFrame({
                     "id": [i for i, *_ in rows],
-                    "side": [s for _, s, _ in rows],
+                    "side": [s for _, s, *_ in rows],
                     "hi": signed(np.array([d >> 64 for d in digests], dtype=np.uint64)),
                     "lo": signed(np.array([d & (2**64 - 1) for d in digests], dtype=np.uint64)),
-                    "shingles": [signed(np.unique(values[s:e])) for s, e in zip(offsets[:-1], offsets[1:])],
+                    "text": [t for _, _, t, _ in rows],
+                    "n": np.array(list(map(len, sets)), dtype=np.int32),
+                    "bits": list(np.packbits(bits, axis=1).view(np.int64)),
+                    "shingles": list(map(signed, sets)),
                 })
 
-    return texts.mapInPandas(run, "id string, side boolean, hi long, lo long, shingles array<long>")
+    return texts.mapInPandas(run, "id string, side boolean, hi long, lo long, text string, n int, bits array<long>, shingles array<long>")
 
 
 def overlaps(left: DataFrame, right: DataFrame, k: int = 3, threshold: float = 0.6) -> tuple[DataFrame, DataFrame]:
@@ -104,31 +117,38 @@ def overlaps(left: DataFrame, right: DataFrame, k: int = 3, threshold: float = 0
     """
     texts = left.select("id", F.lit(False).alias("side"), "text").union(right.select("id", F.lit(True).alias("side"), "text")).filter("text is not null")
     base = persisted(_shingled(spread(texts), k))
-    reps = base.groupBy("side", "hi", "lo").agg(F.min(F.struct("id", "shingles")).alias("r")).select("side", "hi", "lo", "r.*")
-    members = base.select("id", "side", "hi", "lo").distinct().join(reps.select("side", "hi", "lo", F.col("id").alias("rep")), ["side", "hi", "lo"]).select("id", "side", "rep")
-    each = reps.select("side", "id", F.size("shingles").alias("n"), F.explode("shingles").alias("seed"))
-    # shingles that only one split holds come first in the order and join nothing; the others go by how many texts hold them
-    often = each.groupBy("seed").agg(F.count("*").alias("often"), F.min("side").alias("l"), F.max("side").alias("r")).filter(~F.col("l") & F.col("r")).select("seed", "often")
-    of_text = Window.partitionBy("side", "id")
-    ranked = each.join(often, "seed").withColumn("behind", F.count("*").over(of_text) - F.row_number().over(of_text.orderBy("often", "seed")))
+    first = base.groupBy("side", "hi", "lo").agg(F.min("id").alias("id"))
+    members = base.select("id", "side", "hi", "lo").distinct().join(first.withColumnRenamed("id", "rep"), ["side", "hi", "lo"]).select("id", "side", "rep")
+    # one row a class: a repeated row of the least id would count its shingles twice, so its copies are dropped
+    reps = persisted(base.join(first, ["side", "hi", "lo", "id"], "left_semi").dropDuplicates(["side", "hi", "lo"]))
+    each = reps.select("side", "hi", "lo", "n", F.explode("shingles").alias("seed"))
+    # shingles that only one split holds come first in the order and join nothing; the others go by the pairs they make
+    often = each.groupBy("seed").agg(F.count_if("side").alias("r"), F.count("*").alias("all")).filter("r > 0 and r < all").select("seed", (F.col("r") * (F.col("all") - F.col("r"))).alias("makes"))
+    of_text = Window.partitionBy("lo", "hi", "side")  # what differs most first: sorting compares it by itself
+    ranked = each.join(often, "seed").withColumn("behind", F.count("*").over(of_text) - F.row_number().over(of_text.orderBy("makes", "seed")))
     # a margin of 1e-9 keeps rounding from cutting a shingle off
-    kept = persisted(ranked.filter(F.col("behind") >= F.ceil(threshold * F.col("n") - 1e-9) - 1).select("side", "id", "n", "behind", "seed"))
-    of = lambda side, name: kept.filter(F.col("side") == side).select("seed", F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("behind").alias(f"behind_{name}"))
-    met = of(False, "a").join(of(True, "b"), "seed")
-    pairs = met.filter(F.least("behind_a", "behind_b") + 1 >= F.ceil(threshold / (1 + threshold) * (F.col("n_a") + F.col("n_b")) - 1e-9)).select("a", "b").distinct()
-    both = pairs.join(left.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").join(right.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
+    kept = ranked.filter(F.col("behind") >= F.ceil(threshold * F.col("n") - 1e-9) - 1).select("side", "hi", "lo", F.col("behind").cast("int").alias("behind"), "seed")
+    seeds = persisted(kept.join(reps.select("side", "hi", "lo", "n", *(F.col("bits")[i].alias(f"bits{i}") for i in range(BITMAP // 64))), ["side", "hi", "lo"]))
+    of = lambda side, name: seeds.filter(F.col("side") == side).select("seed", *(F.col(c).alias(f"{c}_{name}") for c in seeds.columns if c not in ("side", "seed")))
+    n = F.col("n_a") + F.col("n_b")
+    enough = F.least("behind_a", "behind_b") + 1 >= F.ceil(threshold / (1 + threshold) * n - 1e-9)
+    apart = sum((F.bit_count(F.col(f"bits{i}_a").bitwiseXOR(F.col(f"bits{i}_b"))) for i in range(BITMAP // 64)), F.lit(0))
+    met = of(False, "a").join(of(True, "b"), "seed").filter(enough & (apart <= (1 - threshold) / (1 + threshold) * n + 1e-9))
+    pairs = met.select("hi_a", "lo_a", "hi_b", "lo_b").distinct()
+    side = lambda side, name: reps.filter(F.col("side") == side).select(F.col("hi").alias(f"hi_{name}"), F.col("lo").alias(f"lo_{name}"), F.col("id").alias(name), F.col("text").alias(f"text_{name}"))
+    both = pairs.join(side(False, "a"), ["hi_a", "lo_a"]).join(side(True, "b"), ["hi_b", "lo_b"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
-            of = {t: words(t) for t in {*p["text_a"], *p["text_b"]} if t}
+            of = {t: words(t) for t in {*p["text_a"], *p["text_b"]}}
             sets = {t: np.unique(shingle_hashes(ts, k)) for t, ts in of.items()}
             out = []
             for a, b, x, y in zip(p["a"], p["b"], p["text_a"], p["text_b"]):
-                if x and y and (j := jaccard(sets[x], sets[y])) >= threshold - 1e-12:
+                if (j := jaccard(sets[x], sets[y])) >= threshold - 1e-12:
                     out.append((a, b, j, *chain(word_hashes(of[x]), word_hashes(of[y]), k)))
             yield pd.DataFrame(out, columns=["a", "b", "likeness", "coverage_a", "coverage_b"])
 
-    return both.mapInPandas(verify, "a string, b string, likeness double, coverage_a double, coverage_b double").distinct(), members
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(verify, "a string, b string, likeness double, coverage_a double, coverage_b double"), members
 
 
 def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -136,26 +156,41 @@ def _tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return holdout, load(spark, sf_dir, "dev_cases").select(F.col("name").alias("id"), "text")
 
 
-def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, dev_name, likeness, coverage_case, coverage_dev) by likeness; nulls where only the fingerprint matches."""
-    links, members = overlaps(*_tables(spark, sf_dir))
-    of = lambda side, name, rep: members.filter(F.col("side") == side).select(F.col("id").alias(name), F.col("rep").alias(rep))
-    alike = links.join(of(False, "case_id", "a"), "a").join(of(True, "dev_name", "b"), "b").select("case_id", "dev_name", "likeness", F.col("coverage_a").alias("coverage_case"), F.col("coverage_b").alias("coverage_dev"))
-    cases = load(spark, sf_dir, "holdout_cases", "case_id", "content_fingerprint").select("case_id", F.lower("content_fingerprint").alias("print"))
-    dev = load(spark, sf_dir, "dev_cases", "name", "text").filter("text <> ''").select(F.col("name").alias("dev_name"), F.sha2("text", 256).alias("print"))
-    printed = cases.join(dev, "print").select("case_id", "dev_name", *(F.lit(None).cast("double").alias(c) for c in ("likeness", "coverage_case", "coverage_dev")))
-    return alike.union(printed).groupBy("case_id", "dev_name").agg(*(F.max(c).alias(c) for c in ("likeness", "coverage_case", "coverage_dev")))
+def _printed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(case_id, print) of holdout cases with a fingerprint, (dev_name, print) of dev cases with a text."""
+    cases = load(spark, sf_dir, "holdout_cases", "case_id", "content_fingerprint").select("case_id", F.lower("content_fingerprint").alias("print")).filter("print is not null")
+    return cases, load(spark, sf_dir, "dev_cases", "name", "text").filter("text <> ''").select(F.col("name").alias("dev_name"), F.sha2("text", 256).alias("print"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(case_id, dev_name): holdout cases whose text or fingerprint occurs in a dev case, exactly or almost."""
-    return _matches(spark, sf_dir).select("case_id", "dev_name")
+    """(case_id, dev_name): holdout cases whose text or fingerprint occurs in a dev case, exactly or almost.
+
+    Rows are fixed as pairs of cases, so the links of classes are expanded to their members; p5_report counts without it.
+    """
+    links, members = overlaps(*_tables(spark, sf_dir))
+    of = lambda side, name, rep: members.filter(F.col("side") == side).select(F.col("id").alias(name), F.col("rep").alias(rep))
+    alike = links.join(of(False, "case_id", "a"), "a").join(of(True, "dev_name", "b"), "b").select("case_id", "dev_name")
+    cases, dev = _printed(spark, sf_dir)
+    return alike.union(cases.join(dev, "print").select("case_id", "dev_name")).distinct()
 
 
 def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """By split (spelling normalised) and source of the cases: cases, overlapping cases, pairs, mean coverage of the best match."""
+    """By split (spelling normalised) and source of the cases: cases, overlapping cases, pairs, mean coverage of the best match.
+
+    Pairs are counted by the sizes of classes, never expanded. Coverage is null where only fingerprints match.
+    """
+    links, members = overlaps(*_tables(spark, sf_dir))
+    links, members = persisted(links), members.distinct()
+    case_class = members.filter("not side").select(F.col("id").alias("case_id"), F.col("rep").alias("a"))
+    dev_class = members.filter("side").select(F.col("id").alias("dev_name"), F.col("rep").alias("b"))
+    sizes = dev_class.groupBy("b").agg(F.count("*").alias("pairs"))
+    alike = case_class.join(links.join(sizes, "b").groupBy("a").agg(F.sum("pairs").alias("pairs"), F.max("coverage_a").alias("coverage")), "a").select("case_id", "pairs", "coverage")
+    cases, dev = _printed(spark, sf_dir)
+    # dev cases with one fingerprint have one text, so they are of one class, or of none if the text is too short
+    printed = cases.distinct().join(dev.join(dev_class, "dev_name", "left").groupBy("print").agg(F.countDistinct("dev_name").alias("pairs"), F.min("b").alias("b")), "print")
+    only = printed.join(case_class, "case_id", "left").join(links.select("a", "b", F.lit(True).alias("linked")), ["a", "b"], "left").filter("linked is null")
+    best = alike.union(only.select("case_id", "pairs", F.lit(None).cast("double"))).groupBy("case_id").agg(F.sum("pairs").alias("pairs"), F.max("coverage").alias("coverage"))
     of = load(spark, sf_dir, "holdout_cases").select("case_id", F.lower(F.regexp_replace(F.coalesce("split", F.lit("")), r"[^\p{L}\p{N}]+", "")).alias("split"), "source")
-    best = _matches(spark, sf_dir).groupBy("case_id").agg(F.count("*").alias("pairs"), F.max("coverage_case").alias("coverage"))
     return of.join(best, "case_id", "left").groupBy("split", "source").agg(
         F.count("*").alias("cases"), F.count("pairs").alias("overlapping"), F.coalesce(F.sum("pairs"), F.lit(0)).alias("pairs"), F.round(F.avg("coverage"), 4).alias("mean_coverage")
     )
