@@ -14,7 +14,7 @@ from tessera.llm.reading_level import NAMES, RUN, features
 from tessera.llm.residue import _MESSAGES, MESSAGE, NONE, PLACEHOLDER, label, needed, similarity, simhashes, unit
 from tessera.llm.shingles import batch_shingles, distinct_shingles, jaccard, mix, shingle_hashes, words
 from tessera.llm.split_overlap import WINDOW, chain, winnowed
-from tessera.llm.tokens import PATTERN, RANKS, Encoder
+from tessera.llm.tokens import PATTERN, RANKS, Encoder, chunked, repaired
 
 WORDS = "plum leek salt jar towel clean wipe shelf kettle broth lid stew oats bread drawer rinse soak dry store chop".split()
 
@@ -78,6 +78,29 @@ def test_encoding_equals_the_tokenizer():
         assert np.frombuffer(b"".join(chunks[first[i] : first[i + 1]]), dtype=np.int32).tolist() == reference.encode_ordinary(t)
 
 
+def test_repaired_joins_agree_with_the_whole_text():
+    encoder, rng = Encoder(RANKS), np.random.default_rng(5)
+    texts = ["Salt the water, don't rush it.  Then\n\nwait 12 minutes! " * 8, "漢字かな交じり文が続く" * 20, "🙂🙂 a  b\t\n c" * 20, "x" * 300, " " * 300, "é" * 99, "a b " * 50]
+    for text in texts:
+        raw = text.encode()
+        places = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
+        at = [0, *sorted(rng.choice(places, 12, replace=False).tolist()), len(raw)]
+        parts = [np.array(encoder.encode(raw[s:e].decode()), dtype=np.uint32) for s, e in zip(at, at[1:])]
+        assert repaired(np.concatenate(parts), np.cumsum(list(map(len, parts)))[:-1], encoder).tolist() == encoder.encode(text)
+
+
+def test_chunks_depend_on_the_content_of_their_text_alone():
+    passage = " ".join(f"word{i * i % 97} tells{i}" for i in range(400)).encode()
+    one, two = b"A beginning. " + passage, b"Quite another one, of other length: " + passage
+    data = np.frombuffer(one + two, dtype=np.uint8)
+    bounds = chunked(data, np.array([0, len(one), len(one + two)])).tolist()
+    pieces = [bytes(data[s:e]) for s, e in zip(bounds, bounds[1:])]
+    n = sum(b <= len(one) for b in bounds) - 1
+    shared = set(pieces[:n]) & set(pieces[n:])
+    assert len(shared) >= 0.7 * n and b"".join(pieces) == one + two
+    run = chunked(np.frombuffer(b"z" * 5000, dtype=np.uint8), np.array([0, 5000]))
+    assert len(run) <= 3
+
 def least_bins(items, capacity):
     best = [len(items)]
 

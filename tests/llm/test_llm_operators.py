@@ -9,7 +9,7 @@ from tessera.llm.reading_level import reading_levels
 from tessera.llm.residue import NONE, label, residue, similarity, simhashes, unit
 from tessera.llm.shingles import distinct_shingles, jaccard
 from tessera.llm.split_overlap import overlaps
-from tessera.llm.tokens import token_counts, token_ids
+from tessera.llm.tokens import FLAGS, RANKS, Encoder, recurring, token_counts, token_ids
 
 WORDS = [a + b for a in "plum leek salt jar towel clean wipe shelf kettle broth".split() for b in "ab cd ef gh ij kl mn op qr st".split()]
 
@@ -83,6 +83,16 @@ def test_token_ids_of_nulls_and_empty_texts(spark):
     assert token_ids(rows.limit(0)).count() == 0
 
 
+def test_token_ids_of_shared_passages(spark):
+    encode, rng = Encoder(RANKS).encode, random.Random(9)
+    passages = [" ".join(rng.choice(WORDS) for _ in range(120)) for _ in range(5)] + ["漢字かな交じり文、" * 60]
+    texts = [rng.choice("AB ") + rng.choice(passages) + rng.choice(["", "!", " 12x"]) + rng.choice(passages)[rng.randrange(50) :] for _ in range(60)] + ["", None, passages[0]]
+    rows = spark.createDataFrame([(i if i % 7 else None, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = sorted((r["doc_id"] or -1, r["ids"]) for r in token_ids(rows).collect())
+    assert got == sorted((i if i % 7 and i else -1, encode(t) if t else []) for i, t in enumerate(texts))
+    assert recurring(rows.select("text")).count(0) < FLAGS // 8 and recurring(rows.limit(1).select("text")).count(0) == FLAGS // 8
+
+
 def test_packed_keeps_every_token(spark):
     rng = random.Random(3)
     sizes = [None, 0, 5000, 2048, 2049, *([700] * 300), *(rng.randrange(1, 900) for _ in range(300))]
