@@ -1,12 +1,14 @@
 """Main body of pages by the distribution of text over blocks of lines.
 
-A line's mass is its length, discounted by what it looks like: nothing for what wording or separators give away as site
-furniture, little for short lines without the shape of a sentence, all for sentences. Masses are summed over sliding
-windows of lines. Where the sum surges over a threshold for the first time the main body begins, where it dives for the
-last time it ends; within it, a pointer list or another piece of furniture is a dive of its own that ends where mass
-returns. The page's own title opens the body wherever it stands before the surge. What is outside, and the dives within,
-is boilerplate. Sentences of the site (legal notices and the like) have mass, so lines that recur on many pages of a site
-are counted over the whole corpus and taken out, too.
+Markup is stripped first. A line's mass is its length, weighed by what the line looks like: sentences count in full, items
+of lists and headings in part, short lines of words little. Lines that usual wordings of site furniture give away, rows of
+links between separators, and lines that recur on many pages of the line's site (counted over the corpus) have none, and
+the heading of a list of pointers to other pages takes mass away. Masses are summed over sliding windows of WINDOW filled
+lines. A line that has mass itself and whose window ahead holds SURGE or more is a surge point: the main body begins, or
+begins again. A line whose window ahead holds less than DIVE is a dive point: the body ends, or is interrupted, for instance
+by a list of pointers. A surge is decided by the line and what follows; prose that lost its full stop, and the last lines
+of a paragraph or list, by what precedes them, too. The page's own title has mass wherever it stands, so the body may begin
+with it. Lines outside the body, and lines without mass within it, are boilerplate.
 """
 
 from __future__ import annotations
@@ -14,16 +16,17 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.residue import MESSAGE, NONE, label, triggers
-from tessera.sources.tables import load, spread
+from tessera.sources.tables import load, persisted
 
-WINDOW, SURGE = 3, 45
+#: Filled lines a window, the sums that make a surge and a dive, the mass that a surge or list line has itself, and the least mass of the own title.
+WINDOW, SURGE, DIVE, OWN, TITLE = 3, 35, 20, 10, 30
 #: A line of this length or more is the site's if it stands on pages with so many titles and on such a share of the site's.
 SITE_CHARS, SITE_TITLES, SITE_SHARE = 40, 5, 0.05
 
@@ -45,12 +48,11 @@ rate this recipe.*|download (?:our|the) app.*|open the gallery.*|save to my reci
 (?:tags?|filed under|schlagwörter|etiquetas|mots-clés|posted in|categories|category)\b\W* .{1,120}
 (?:previous|next|older|newer)(?: (?:post|article|story|page))?\W{1,3}.{0,120}|(?:zurück|weiter|anterior|siguiente|précédent|suivant)\W{1,3}.{1,120}
 zum inhalt springen|saltar al contenido|aller au contenu|menü|menú|menu principal|startseite|inicio|accueil|suche|buscar|rechercher|kontakt|contacto|anmelden|acceder|connexion|über uns|quiénes somos|impressum|datenschutz|agb|aviso legal|privacidad|mentions légales|confidentialité|cgu
-call us on .{1,30}|version \d[\d.]* of this website|made with care by the .{1,40} team|do not sell my information
 """.strip().splitlines()
 _PART = r"""
 ©|\bcopyright \d{4}\b|\(c\) \d{4}\b|\ball rights reserved\b|\balle rechte vorbehalten\b|\btodos los derechos\b|\btous droits\b
 \bregistered office\b|\bfamily of sites\b|\bist ein angebot von\b|\bes un sitio de\b|\best un site d[eu]\b|\bof this website\b|\bterms of use\b
-\btests household goods on its own account\b|\bprices were correct when\b|\bcommission from links\b|\bcome back to us at no cost\b|\breplaces the advice of\b|\bmade with care by\b|\bdo not sell my\b|\bfollow us: |\baffiliate links?\b
+\b(?:earn|receive) (?:a |an )?(?:affiliate |small )?commission\b|\baffiliate (?:links?|partners?|program)\b|\bfollow us\b ?:
 \b(?:use|uses|using|set|sets|use of|optional|necessary|our) cookies\b|\bcookies (?:and similar|to|for|so that|zu|für|um|para|con|propias|pour|à|afin|y)\b(?=.{0,90}(?:visit|ads|remember|improve|personali|statisti|market|werbung|erlebnis|publicit|mejorar|mesurer|améliorer|medir|expérience|running))
 \bpartners store information\b|\bstore information on your device\b|\b(?:nutzt|verwenden|setzt|verwendet) cookies\b|\b(?:utiliza|utilizamos|usamos|usa) cookies\b|\b(?:utilise|utilisons|dépose|déposons) (?:des )?(?:cookies|traceurs)\b|\byour privacy matters\b
 \bchange this at any time in the settings\b|\bsee our privacy notice\b|\bchoose what you allow\b
@@ -73,8 +75,8 @@ _WHOLE_LINE = re.compile("(?:" + "|".join(f"(?:{p})" for p in _WHOLE) + r")\W*",
 _PARTS = re.compile("|".join(_PART), re.I)
 #: A line that _PARTS matches contains one of these.
 _PART_TRIGGERS = tuple(
-    "©|copyright|(c)|rights reserved|rechte vorbehalten|los derechos|tous droits|registered office|family of sites|angebot von|sitio de|site d|of this website|terms of use|household goods on its|prices were correct|commission from|at no cost|"
-    "replaces the advice|made with care|do not sell|follow us|affiliate|cookies|traceurs|partners store|store information|privacy|in the settings|choose what".split("|")
+    "©|copyright|(c)|rights reserved|rechte vorbehalten|los derechos|tous droits|registered office|family of sites|angebot von|sitio de|site d|of this website|terms of use|commission|"
+    "follow us|affiliate|cookies|traceurs|partners store|store information|privacy|in the settings|choose what".split("|")
 )
 _POINTERS = re.compile("(?:" + "|".join(_POINTER) + r")\W*", re.I)
 _SEPARATED = re.compile(r"\s(?:[|•·/>»›]|&gt;|&raquo;)\s")
@@ -83,7 +85,7 @@ _ITEM = re.compile(
     r"|(?:a|an|half|one|two|three|four|some|eine?|zwei|drei|etwas|una?|dos|tres|media|un peu|une?|deux|trois)\s.{0,30}(?:pinch|handful|cup|quarter|splash|knob|spoon|clove|slice|bunch|dash|tablespoon|teaspoon|prise|handvoll|tasse|löffel|pizca|puñado|taza|cucharad|pincée|poignée|tasse|cuillère)"
     r"|[a-zäöüéèàáíóúñç].{1,60}$)",
 )
-_MARKUP = re.compile(r"<[a-zA-Z/!][^<>]{0,300}>")
+_MARKUP = re.compile(r"<[a-zA-Z/!][^<>]{0,300}>")  # may span lines
 _END = re.compile(r"[.!?…:;]['\"”’»)\]]*\s*$")
 _WORD = re.compile(r"[^\W_]+")
 #: Lines that belong to a message which stands in place of an article.
@@ -91,10 +93,12 @@ _NOTICE = re.compile(r"loading\W*|(?:incident|reference|ref|request(?: id)?|sess
 _STEP = re.compile(r"\d{1,3}[.)]\s+\S")
 
 
+def _as_blank(tag: re.Match) -> str:
+    return "\n" * tag[0].count("\n") or " "
+
+
 def plain(line: str) -> str:
-    """The line without markup, with spaces folded."""
-    if "<" in line:
-        line = _MARKUP.sub(" ", line)
+    """The line without character references, with spaces folded."""
     return " ".join((html.unescape(line) if "&" in line else line).split())
 
 
@@ -102,7 +106,7 @@ def _folded(text: str) -> str:
     return " ".join(_WORD.findall(unicodedata.normalize("NFKC", text).lower()))
 
 
-BLANK, FURNITURE, POINTER, TEASER, SENTENCE, ITEM, HEAD, SHORT, LONG = range(9)
+BLANK, FURNITURE, POINTER, TEASER, SENTENCE, ITEM, HEAD, SHORT, LONG, NOTICE = range(10)
 
 
 def shape(line: str) -> int:
@@ -120,7 +124,9 @@ def shape(line: str) -> int:
         return HEAD
     if words >= 3 and _MORE.search(line[-60:]):
         return TEASER
-    if (words >= 4 and _END.search(line)) or _STEP.match(line) or _NOTICE.fullmatch(line) or label(line) != NONE:
+    if _NOTICE.fullmatch(line) or label(line) != NONE:
+        return NOTICE
+    if (words >= 4 and _END.search(line)) or _STEP.match(line):
         return SENTENCE
     if words <= 12 and _ITEM.match(line):
         return ITEM
@@ -128,92 +134,109 @@ def shape(line: str) -> int:
     return LONG if words >= 10 and sum(w[:1].isupper() for w in line.split()) < 0.5 * words else SHORT
 
 
-_MASS = {BLANK: 0.0, FURNITURE: 0.0, POINTER: 0.0, TEASER: 0.0, SENTENCE: 1.0, ITEM: 0.7, HEAD: 0.4, SHORT: 0.15, LONG: 0.3}
+#: What a character of a line weighs by the line's shape, and the most and least that such a line weighs.
+_WEIGHT = {BLANK: (0.0, 0, 0), FURNITURE: (0.0, 0, 0), POINTER: (0.0, -1000, -1000), TEASER: (0.0, 0, 0), SENTENCE: (1.0, 400, 0), ITEM: (0.7, 100, 20), HEAD: (0.4, 20, 15), SHORT: (0.15, 9, 0), LONG: (0.15, 9, 0), NOTICE: (1.0, 400, 50)}
+
+
+def mass(line: str, s: int) -> float:
+    """Mass of a plain line of shape s."""
+    weight, most, least = _WEIGHT[s]
+    return max(least, min(most, weight * len(line)))
 
 
-def boilerplate_lines(text: str, titles: tuple[str, ...] = (), known: dict[str, int] | None = None) -> list[int]:
-    """Numbers, from 1, of the boilerplate lines of a page text; `titles` are forms of the page's own title.
+def boilerplate_lines(text: str, titles: tuple[str, ...] = (), known: dict[str, int] | None = None, recurring: Container[int] = ()) -> list[int]:
+    """Numbers, from 1, of the boilerplate lines of a page text; `titles` are forms of the page's own title, `recurring`
+    the numbers of lines that are known to be the site's.
 
-    Blank lines are never among them. A text without any mass is boilerplate altogether, but for its title.
+    Blank lines are never among them. A text that never surges is boilerplate altogether, but for its title.
     """
     known = {} if known is None else known
-    lines = [plain(x) for x in text.split("\n")]
+    lines = [plain(x) for x in (_MARKUP.sub(_as_blank, text) if "<" in text else text).split("\n")]
     shapes = []
-    for line in lines:
+    for n, line in enumerate(lines, 1):
         s = known.get(line)
         if s is None:
             s = known[line] = shape(line)
-        shapes.append(s)
+        shapes.append(FURNITURE if n in recurring and s != BLANK else s)
     own = {f for t in titles if t and (f := _folded(t))}
-    mass = [min(len(x), 400) * _MASS[s] for x, s in zip(lines, shapes)]
     filled = [i for i, s in enumerate(shapes) if s != BLANK]
-    sums = {i: sum(mass[j] for j in filled[n : n + WINDOW]) for n, i in enumerate(filled)}
-    surge = next((i for i in filled if mass[i] > 0 and shapes[i] in (SENTENCE, ITEM, HEAD) and (shapes[i] == SENTENCE or sums[i] >= SURGE)), None)
+    masses = [mass(lines[i], shapes[i]) for i in filled]
+    _, surge = _body(masses, [shapes[i] == LONG for i in filled])
+    title = _title(lines, shapes, filled, surge, own)
+    if title is not None and surge is not None:
+        masses[filled.index(title)] = max(TITLE, masses[filled.index(title)])
+    main = {filled[n] for n in _body(masses, [shapes[i] == LONG for i in filled])[0]} | {title}
+    return [i + 1 for i in filled if i not in main]
+
+
+def _body(masses: list[float], trailing: list[bool]) -> tuple[list[int], int | None]:
+    """Places of the lines of the body among the filled lines, and the place of its first surge; `trailing` are lines that
+    may end a body though they have little mass themselves."""
+    body, first, inside = [], None, False
+    for n, m in enumerate(masses):
+        ahead = m + sum(max(0, x) for x in masses[n + 1 : n + WINDOW])
+        if inside:
+            inside = ahead >= DIVE or ((trailing[n] or m >= OWN) and sum(masses[max(0, n - WINDOW + 1) : n + 1]) >= DIVE)
+        elif m >= OWN and ahead >= SURGE:
+            inside = True
+            first = n if first is None else first
+        if inside and m > 0:
+            body.append(n)
+    return body, first
+
+
+def _title(lines: list[str], shapes: list[int], filled: list[int], surge: int | None, own: set[str]) -> int | None:
+    """The line of the page's own title: the last that equals it before the surge, else soon after, else the line before."""
+    before = filled if surge is None else filled[:surge]
+    for i in reversed(before):
+        if shapes[i] not in (FURNITURE, POINTER) and _folded(lines[i]) in own:
+            return i
     if surge is None:
-        return [i + 1 for i in filled if _folded(lines[i]) not in own]
-    # the title: the last line that equals it before the surge, else a line before it that looks like one
-    before = [i for i in filled if i < surge]
-    title = next((i for i in reversed(before) if shapes[i] not in (FURNITURE, POINTER) and _folded(lines[i]) in own), None)
-    if title is None:
-        title = next((i for i in filled if i >= surge and _folded(lines[i]) in own and shapes[i] != FURNITURE and i < surge + 3), None)
-    if title is None and before and shapes[before[-1]] in (SHORT, LONG, TEASER) and lines[before[-1]].count(" ") >= 3 and label(lines[surge]) != MESSAGE:
-        title = before[-1]
-    first = surge if title is None else min(title, surge)
-    dive = max(i for i in filled if shapes[i] in (SENTENCE, ITEM))
-    out, listing = [], False
-    for i in filled:
-        s = shapes[i]
-        if i == title:
-            continue
-        if s in (FURNITURE, POINTER):
-            out.append(i + 1)
-            listing = s == POINTER or (listing and s == FURNITURE)
-        elif i < first or (i > dive and (s != LONG or listing)):
-            out.append(i + 1)
-        elif s == TEASER:
-            out.append(i + 1)
-        elif listing and s in (SHORT, LONG):
-            # a pointer's title, or its summary cut off in the middle of a sentence
-            out.append(i + 1)
-        else:
-            listing = False
-    return out
+        return None
+    for i in filled[surge : surge + 3]:
+        if shapes[i] != FURNITURE and _folded(lines[i]) in own:
+            return i
+    last = before[-1] if before else None
+    if last is not None and shapes[last] in (SHORT, LONG, TEASER) and lines[last].count(" ") >= 3 and label(lines[filled[surge]]) != MESSAGE:
+        return last
+    return None
 
 
 def boilerplate(pages: DataFrame) -> DataFrame:
     """(id, line_no) of boilerplate lines by the line-block distribution of each page.
 
-    `pages` has id BIGINT, text STRING, title STRING (may be null); further columns are ignored. Null and empty texts
-    have no lines; repeated rows repeat their lines.
+    `pages` has id BIGINT, text STRING, title STRING (may be null), recurring ARRAY<INT> (may be null); further columns are
+    ignored. Null and empty texts have no lines; repeated rows repeat their lines.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[str, int] = {}
         for whole in batches:
             ids, numbers = [], []
-            for i, text, title in zip(whole["id"], whole["text"], whole["title"]):
+            for i, text, title, recurring in zip(whole["id"], whole["text"], whole["title"], whole["recurring"]):
                 if text:
                     if len(known) > 200_000:
                         known.clear()
-                    found = boilerplate_lines(text, (title,) if title else (), known)
+                    found = boilerplate_lines(text, (title,) if title else (), known, () if recurring is None else set(recurring.tolist()))
                     ids += [i] * len(found)
                     numbers += found
             yield pd.DataFrame({"id": pd.array(ids, dtype="int64"), "line_no": pd.array(numbers, dtype="int32")})
 
-    return pages.select("id", "text", "title").mapInPandas(run, "id long, line_no int")
+    return pages.select("id", "text", "title", "recurring").mapInPandas(run, "id long, line_no int")
 
 
-def site_lines(pages: DataFrame) -> DataFrame:
+def site_lines(texts: DataFrame, about: DataFrame) -> DataFrame:
     """(id, line_no) of long lines that recur on many pages of their site, numbers apart.
 
-    `pages` has id BIGINT, text STRING, site STRING, title STRING; rows without a site have none. Counted over all pages;
-    pages with one title count once, since they may be copies or versions of one article.
+    `texts` has id BIGINT, text STRING, `about` id, site STRING, title STRING; pages without a site have none. Counted over
+    all pages; pages with one title count once, since they may be copies or versions of one article.
     """
-    sited = pages.filter("site is not null").select("id", "site", "text", F.xxhash64(F.coalesce("title", F.col("id").cast("string"))).alias("page"))
-    lines = sited.select("id", "site", "page", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    page = about.filter("site is not null").select("id", "site", F.xxhash64(F.coalesce("title", F.col("id").cast("string"))).alias("page"))
+    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"[\s\u00a0]+", " "))).filter(F.length("line") >= SITE_CHARS)
-    keyed = lines.select("id", "site", "page", (F.col("at") + 1).cast("int").alias("line_no"), F.xxhash64(F.regexp_replace("line", r"\d+", "0")).alias("key"))
-    total = sited.groupBy("site").agg(F.countDistinct("page").alias("pages"))
+    # lines become keys before they are shuffled, and once for both uses
+    keyed = persisted(lines.select("id", (F.col("at") + 1).cast("int").alias("line_no"), F.xxhash64(F.regexp_replace("line", r"\d+", "0")).alias("key")).join(page, "id"))
+    total = page.join(texts.select("id").distinct(), "id", "left_semi").groupBy("site").agg(F.countDistinct("page").alias("pages"))
     often = keyed.groupBy("site", "key").agg(F.countDistinct("page").alias("n")).filter(f"n >= {SITE_TITLES}")
     often = often.join(total, "site").filter(F.col("n") >= F.col("pages") * SITE_SHARE).select("site", "key")
     return keyed.join(often, ["site", "key"]).select("id", "line_no")
@@ -223,8 +246,8 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(evidence_id, line_no): the boilerplate lines of evidence_text.text."""
     texts = load(spark, sf_dir, "evidence_text").select(F.col("evidence_id").alias("id"), "text").filter("text is not null")
     about = load(spark, sf_dir, "evidence", "id", "url", "title").select("id", F.lower(F.regexp_extract("url", r"^\w+://([^/?#:]+)", 1)).alias("site"), "title")
-    pages = texts.join(about, "id", "left")
-    found = boilerplate(spread(pages)).union(site_lines(pages)).distinct()
+    recurring = site_lines(texts, about).groupBy("id").agg(F.collect_set("line_no").alias("recurring"))
+    found = boilerplate(texts.join(about.select("id", "title"), "id", "left").join(recurring, "id", "left")).distinct()
     return found.select(F.col("id").alias("evidence_id"), "line_no")
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm.boilerplate import boilerplate, site_lines
 from tessera.llm.near_duplicates import all_pairs, near_duplicates
@@ -146,6 +147,8 @@ def test_boilerplate_and_site_lines(spark):
     pages = [(i, f"Page {i} title words\nThis is an article about {WORDS[i]} and it says something new here.\n{notice} {i}", "s", f"Page {i} title words", 0) for i in range(8)]
     pages += [(100 + i, "Copy title\nThis very long article line is stored again and again as a copy.", "s", "Copy title", 0) for i in range(20)] + [(200, None, "s", None, 0), (201, "", None, None, 0)]
     rows = spark.createDataFrame(pages, "id long, text string, site string, title string, line_no int")
-    assert {tuple(r) for r in site_lines(rows).collect()} == {(i, 3) for i in range(8)}
-    assert boilerplate(rows).filter("id >= 100").count() == 0
-    assert boilerplate(rows.limit(0)).count() == 0 and site_lines(rows.limit(0)).count() == 0
+    recurring = site_lines(rows, rows)
+    assert {tuple(r) for r in recurring.collect()} == {(i, 3) for i in range(8)}
+    marked = rows.join(recurring.groupBy("id").agg(F.collect_set("line_no").alias("recurring")), "id", "left")
+    assert {tuple(r) for r in boilerplate(marked).collect()} == {(i, 3) for i in range(8)}
+    assert boilerplate(marked.limit(0)).count() == 0 and site_lines(rows.limit(0), rows).count() == 0
