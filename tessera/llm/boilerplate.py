@@ -135,7 +135,7 @@ def shape(line: str) -> int:
 
 
 #: What a character of a line weighs by the line's shape, and the most and least that such a line weighs.
-_WEIGHT = {BLANK: (0.0, 0, 0), FURNITURE: (0.0, 0, 0), POINTER: (0.0, -1000, -1000), TEASER: (0.0, 0, 0), SENTENCE: (1.0, 400, 0), ITEM: (0.7, 100, 20), HEAD: (0.4, 20, 15), SHORT: (0.15, 9, 0), LONG: (0.15, 9, 0), NOTICE: (1.0, 400, 50)}
+_WEIGHT = {BLANK: (0.0, 0, 0), FURNITURE: (0.0, 0, 0), POINTER: (0.0, -1000, -1000), TEASER: (0.0, 0, 0), SENTENCE: (1.0, 400, 35), ITEM: (0.7, 100, 20), HEAD: (0.4, 20, 15), SHORT: (0.15, 9, 0), LONG: (0.15, 9, 0), NOTICE: (1.0, 400, 50)}
 
 
 def mass(line: str, s: int) -> float:
