@@ -34,8 +34,6 @@ RATE = 20.0
 BANDS, ROWS = 60, 5
 KEY_BITS = 44
 MARGIN = 0.15
-#: Classes of exact copies up to this size are expanded into all pairs, larger ones into pairs with the class's first id.
-FULL_PAIRS = 1000
 
 _RNG = np.random.default_rng(20240607)
 _SEEDS = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,18 +169,17 @@ def near_duplicates(records: DataFrame, k: int = 3, threshold: float = 0.6, min_
 
 
 def all_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(id_a, id_b): links expanded to the members of both classes, and the pairs within each class.
+    """(id_a, id_b): links expanded to the members of both classes, and the pairs within each class; nothing is left out.
 
-    A class of more than FULL_PAIRS copies is not expanded: it takes part by its representative, and each further copy
-    is paired with the representative alone, so no class makes more pairs than its size squared or linear in it.
+    That is as many rows as there are pairs: a class of n copies makes n(n - 1)/2. The links with the classes (p3_links,
+    p3_classes) say the same in rows that grow with the records and the links between different texts.
     """
     sized = members.groupBy("rep").agg(F.count("*").alias("size")).filter("size > 1")
-    copies = members.join(sized, "rep").select("id", "rep", "size").filter(f"size <= {FULL_PAIRS} or id = rep")
-    large = members.join(sized.filter(f"size > {FULL_PAIRS}"), "rep").filter("id <> rep").select(F.col("rep").alias("id_a"), F.col("id").alias("id_b"))
+    copies = members.join(sized, "rep").select("id", "rep")
     within = copies.alias("x").join(copies.alias("y"), F.expr("x.rep = y.rep and x.id < y.id")).select(F.col("x.id").alias("id_a"), F.col("y.id").alias("id_b"))
     side = lambda s: copies.select(F.col("rep").alias(s), F.col("id").alias(f"id_{s}"))
     between = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("id_a", "a").alias("x"), F.coalesce("id_b", "b").alias("y"))
-    return between.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).union(within).union(large)
+    return between.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).union(within)
 
 
 def _evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,6 +191,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return all_pairs(*near_duplicates(_evidence(spark, sf_dir)))
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between classes of equal word sequences: the least ids of both, their likeness, and the pairs of rows that a link stands for."""
+    links, members = near_duplicates(_evidence(spark, sf_dir))
+    sizes = members.groupBy("rep").agg(F.count("*").alias("size"))
+    side = lambda s: sizes.select(F.col("rep").alias(s), F.col("size").alias(f"size_{s}"))
+    return links.join(side("a"), "a").join(side("b"), "b").select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), F.round("likeness", 6).alias("likeness"), (F.col("size_a") * F.col("size_b")).alias("pairs"))
+
+
 def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row an evidence row that takes part: its class of equal word sequences and its number of links to others."""
     links, members = near_duplicates(_evidence(spark, sf_dir))
@@ -202,5 +207,5 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.join(degree, "rep", "left").select(F.col("id").alias("evidence_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes}
+QUERIES = {"p3_found": p3_found, "p3_links": p3_links, "p3_classes": p3_classes}
 SQL: dict[str, str] = {}

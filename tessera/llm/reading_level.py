@@ -186,21 +186,34 @@ def text_features(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", "text").mapInPandas(run, "doc_id long, x array<float>")
 
 
+#: Labels that a fold must leave for training, and the calibration where no fold does.
+TRAINED_MIN = 20
+SAME = (np.array([1.0, 5.0]), np.array([1.0, 5.0]))
+
+
 class Model:
-    """Trees for all labels, and the calibration learned from sources left out of training."""
+    """Trees for all labels, and the calibration learned from sources left out of training.
+
+    `held_out` are the grades of each row by trees and a calibration that its fold of sources had no part in; NaN where
+    the other folds have under TRAINED_MIN labels.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, groups: np.ndarray) -> None:
         weight = np.ones(len(y))
         self.trees = Boosted().fit(x, y, weight)
-        self.held_out = np.full(len(y), y.mean() if len(y) else np.nan)
-        if len(y) >= 50:
-            for fold in range(FOLDS):
-                test = groups % FOLDS == fold
-                if test.any() and (~test).sum() >= 20:
-                    self.held_out[test] = Boosted().fit(x[~test], y[~test], weight[~test], fold + 1).predict(x[test])
-            self.knots = isotonic(self.held_out, y)
-        else:
-            self.knots = (np.array([1.0, 5.0]), np.array([1.0, 5.0]))
+        raw, folds = np.full(len(y), np.nan), groups % FOLDS
+        for fold in range(FOLDS):
+            test = folds == fold
+            if test.any() and (~test).sum() >= TRAINED_MIN:
+                raw[test] = Boosted().fit(x[~test], y[~test], weight[~test], fold + 1).predict(x[test])
+        # rows of folds that left too little to train on are no evidence for the calibration
+        seen = ~np.isnan(raw)
+        self.knots = isotonic(raw[seen], y[seen]) if seen.any() else SAME
+        self.held_out = np.full(len(y), np.nan)
+        for fold in range(FOLDS):
+            test, rest = seen & (folds == fold), seen & (folds != fold)
+            if test.any():
+                self.held_out[test] = np.clip(np.interp(raw[test], *(isotonic(raw[rest], y[rest]) if rest.any() else SAME)), 1, 5)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         return np.clip(np.interp(self.trees.predict(x), *self.knots), 1, 5)
@@ -213,21 +226,21 @@ def mean_labels(labels: DataFrame) -> DataFrame:
 
 
 def trained(features_: DataFrame, documents: DataFrame, labels: DataFrame) -> tuple[Model | None, np.ndarray, np.ndarray, np.ndarray]:
-    """The model, and the ids, labels and source groups it was trained on; no model if nothing is labelled."""
+    """The model, and the ids, labels and sources it was trained on; no model if nothing is labelled."""
     sources = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
-    rows = mean_labels(labels).join(features_, "doc_id").join(sources, "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_MAX)
-    got = rows.select("doc_id", "x", "y", F.pmod(F.xxhash64("source"), F.lit(1 << 20)).alias("g")).toPandas()
+    rows = mean_labels(labels).join(features_, "doc_id").join(sources, "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("source", "x")).alias("r")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED_MAX)
+    got = rows.select("doc_id", "r.x", "y", "r.source", F.pmod(F.xxhash64("r.source"), F.lit(1 << 20)).alias("g")).toPandas()
     if not len(got):
         return None, *(np.zeros(0),) * 3
     model = Model(np.stack(got["x"].to_list()).astype(np.float32), got["y"].to_numpy(float), got["g"].to_numpy())
-    return model, got["doc_id"].to_numpy(), got["y"].to_numpy(float), got["g"].to_numpy()
+    return model, got["doc_id"].to_numpy(), got["y"].to_numpy(float), got["source"].to_numpy()
 
 
 def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, reading_level DOUBLE from 1 to 5, reader_level INT) of every row of `documents`.
 
     Null, empty and blank texts, and those without a letter, have null levels; so have all if no label is left.
-    Repeated rows come out as often; further columns are ignored.
+    Repeated rows come out as often, with one level if their id has several texts; further columns are ignored.
     """
     spark = documents.sparkSession
     x = persisted(text_features(spread(documents.select("doc_id", "text"))))
@@ -238,7 +251,7 @@ def reading_levels(documents: DataFrame, labels: DataFrame) -> DataFrame:
             if len(p) and model.value:
                 yield pd.DataFrame({"doc_id": p["doc_id"], "reading_level": np.round(model.value.predict(np.stack(p["x"].to_list())), 4)})
 
-    levels = x.dropDuplicates(["doc_id"]).mapInPandas(score, "doc_id long, reading_level double")
+    levels = x.groupBy("doc_id").agg(F.min("x").alias("x")).mapInPandas(score, "doc_id long, reading_level double")
     return documents.select("doc_id").join(levels, "doc_id", "left").withColumn("reader_level", F.round("reading_level").cast("int"))
 
 
@@ -248,13 +261,19 @@ def p8_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement with the labels of documents from sources left out of training: rows, mean error, share within one level, correlation."""
+    """By source: labelled documents, and how the calibrated grades of models without that source's fold agree with the
+    labels (mean error, share within one level, correlation); the row without a source is over all of them."""
     documents = load(spark, sf_dir, "documents")
-    model, ids, y, _ = trained(persisted(text_features(spread(documents.select("doc_id", "text")))), documents, load(spark, sf_dir, "reading_labels"))
-    guess = np.clip(model.held_out, 1, 5) if model else np.zeros(0)
-    error = np.abs(guess - y)
-    row = (len(ids), float(error.mean()) if len(y) else None, float((error <= 1).mean()) if len(y) else None, float(np.corrcoef(guess, y)[0, 1]) if len(y) > 2 else None)
-    return spark.createDataFrame([row], "documents long, mean_error double, within_one double, correlation double")
+    model, _, y, sources = trained(persisted(text_features(spread(documents.select("doc_id", "text")))), documents, load(spark, sf_dir, "reading_labels"))
+    guess = model.held_out if model else np.zeros(0)
+    judged = ~np.isnan(guess)
+    rows = []
+    for source in [None, *sorted(set(sources))]:  # of at most LABELLED_MAX rows
+        g, t = (v[judged & (np.ones(len(y), dtype=bool) if source is None else sources == source)] for v in (guess, y))
+        error = np.abs(g - t)
+        vary = len(t) > 2 and g.std() > 0 and t.std() > 0
+        rows.append((source, len(t), *((float(error.mean()), float((error <= 1).mean())) if len(t) else (None, None)), float(np.corrcoef(g, t)[0, 1]) if vary else None))
+    return spark.createDataFrame(rows, "source string, documents long, mean_error double, within_one double, correlation double")
 
 
 QUERIES = {"p8_levels": p8_levels, "p8_validation": p8_validation}

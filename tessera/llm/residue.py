@@ -147,6 +147,7 @@ __[A-Za-z]\w*?__
 \[(?i:insert|enter|your|add) [^\]\n]{{1,60}}\]
 \[object Object\]
 \bNaN\b
+^\s*undefined\s*$
 \bundefined (?:minutes?|hours?|cups?|servings?)\b|\byield: undefined\b
 \b(?:cups|minutes|grams) of [\w ]+ and null of\b
 (?:\{{\{{+|\$\{{|\#\{{|\{{%|<%=?|%%|@@|\*\||\[\[|%\()\s*[A-Za-z_][\w. ]{{0,40}}$
@@ -355,7 +356,8 @@ def residue(texts: DataFrame) -> DataFrame:
     columns are ignored.
     """
     lines = persisted(line_units(spread(texts.select("kind", "id", "text").filter("text is not null"))))
-    units = persisted(lines.groupBy("unit").agg(*(F.min(c).alias(c) for c in ("sim", "label", "text"))))
+    # hash, label and text of one line: where hashes of two units meet, they aren't mixed
+    units = persisted(lines.groupBy("unit").agg(F.min(F.struct("text", "sim", "label")).alias("u")).select("unit", "u.sim", "u.label", "u.text"))
     return lines.select("kind", "id", "unit").join(residue_units(units), "unit").select("kind", "id").distinct()
 
 
@@ -367,7 +369,6 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     outcomes = attempts.groupBy("outcome").agg(F.min("id").alias("id")).select(F.lit("outcome").alias("kind"), "id", F.col("outcome").alias("text"))
     found = persisted(residue(excerpts.union(outcomes)))
     bad = outcomes.join(found.filter("kind = 'outcome'"), "id", "left_semi").select(F.col("text").alias("outcome"))
-    bad = bad.union(outcomes.filter(F.trim("text").isin("undefined", "NaN")).select(F.col("text").alias("outcome"))).distinct()
     attempted = attempts.join(bad, "outcome").select(F.lit("fetch_attempts").alias("record_kind"), F.col("id").alias("record_id")).distinct()
     return found.filter("kind = 'evidence'").select(F.col("kind").alias("record_kind"), F.col("id").alias("record_id")).union(attempted)
 
