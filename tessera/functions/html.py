@@ -15,10 +15,12 @@ from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 _SKIPPED = {"script", "style", "noscript", "template", "svg", "nav", "footer", "header", "aside", "form", "iframe"}
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "blockquote", "pre", "hr", "dt", "dd", "main", "figure", "figcaption"}
 _VOID = {"br", "hr", "img", "input", "meta", "link", "area", "base", "col", "embed", "source", "track", "wbr"}
-_PUBLISHED = ("article:published_time", "datepublished", "pubdate", "date", "dc.date")
+_PUBLISHED = {"article:published_time": "article:published_time", "datepublished": "datePublished", "date": "date", "dc.date": "dc.date", "pubdate": "pubdate"}
+_MODIFIED = ("article:modified_time", "datemodified")
+_LOGIN = re.compile(r"/(?:accounts/)?(?:login|signin|sign-in|auth)(?:/|$)", re.I)
 _SPACES = re.compile(r"[ \t\r\f\v ]+")
 
-PAGE = StructType([StructField(c, StringType()) for c in ("title", "text", "published_at", "basis")] + [StructField("links", ArrayType(StringType()))])
+PAGE = StructType([StructField(c, StringType()) for c in ("title", "text", "published_at", "basis", "modified_at")] + [StructField("links", ArrayType(StringType()))])
 
 
 class _Page(HTMLParser):
@@ -39,8 +41,8 @@ class _Page(HTMLParser):
         if tag == "script" and a.get("type", "").strip().lower() == "application/ld+json":
             self.blob = True
             self.blobs.append("")
-        if tag == "meta" and (name := (a.get("property") or a.get("name") or a.get("itemprop") or "").lower()):
-            self.meta.setdefault(name, a.get("content", ""))
+        if tag == "meta" and (name := (a.get("property") or a.get("name") or a.get("itemprop") or "").lower()) and a.get("content"):
+            self.meta[name] = a["content"]  # the last one that says anything
         if tag == "a" and a.get("href"):
             self.links.append(a["href"].strip())
         if tag in _SKIPPED:
@@ -70,7 +72,7 @@ class _Page(HTMLParser):
         if self.in_title:
             if self.first_title:
                 self.title.append(data)
-        elif not self.skip:
+        if not self.skip and not self.blob:
             self.parts.append(data)
 
 
@@ -80,38 +82,51 @@ def normal_text(text: str) -> str:
     return "\n".join(x for x in lines if x)
 
 
-def _dates(blob: object, depth: int = 0) -> str | None:
-    if isinstance(blob, dict):
-        if isinstance(d := blob.get("datePublished"), str) and d.strip():
-            return d
-        blob = list(blob.values())
-    if isinstance(blob, list) and depth < 20:
-        return next((d for x in blob if (d := _dates(x, depth + 1))), None)
+def first_string(value: object, key: str) -> str | None:
+    """The first text under `key` in nested JSON values, in order of the document."""
+    todo = [value]
+    while todo:
+        at = todo.pop()
+        if isinstance(at, dict):
+            if isinstance(at.get(key), str):
+                return at[key]
+            at = list(at.values())
+        if isinstance(at, list):
+            todo += reversed(at)
     return None
 
 
-def parse_page(html: str | None) -> tuple[str | None, str, str | None, str, list[str]]:
-    """(title, text, published_at, basis, links); a null page gives an empty text and basis unknown."""
+def parse_page(html: str | None) -> tuple[str | None, str, str | None, str, str | None, list[str]]:
+    """(title, text, published_at, basis, modified_at, links); a null page gives an empty text and basis unknown.
+
+    Dates of JSON-LD count where no metadata names when the page was published.
+    """
     page = _Page()
     page.feed(html or "")
     page.close()
     title = " ".join("".join(page.title).split()) or None if page.title is not None else None
-    date, basis = next(((page.meta[k], f"meta:{k}") for k in _PUBLISHED if page.meta.get(k, "").strip()), (None, "unknown"))
-    for blob in page.blobs if date is None else ():
-        try:
-            date = _dates(json.loads(blob))
-        except ValueError:
-            continue
-        if date:
+    date, basis = next(((page.meta[k], f"meta:{name}") for k, name in _PUBLISHED.items() if k in page.meta), (None, "unknown"))
+    changed = next((page.meta[k] for k in _MODIFIED if k in page.meta), None)
+    if date is None:
+        nodes = [x for x in map(parsed_json, page.blobs) if x is not None]
+        if date := first_string(nodes, "datePublished"):
             basis = "jsonld:datePublished"
-            break
-    return title, normal_text("".join(page.parts)), date, basis, page.links
+        changed = changed or first_string(nodes, "dateModified")
+    return title, normal_text("".join(page.parts)), date or None, basis, changed, page.links
+
+
+def parsed_json(text: str) -> object:
+    """The JSON value of a text, or None."""
+    try:
+        return json.loads(text)
+    except ValueError:
+        return None
 
 
 @F.pandas_udf(PAGE)
 def extract_page(html: pd.Series) -> pd.DataFrame:
     """What parse_page gives, as a struct column."""
-    return pd.DataFrame([parse_page(h) for h in html], columns=["title", "text", "published_at", "basis", "links"])
+    return pd.DataFrame([parse_page(h) for h in html], columns=["title", "text", "published_at", "basis", "modified_at", "links"])
 
 
 def same_site_links(base: str, links: list[str], prefix: str = "/", limit: int | None = None) -> list[str]:
@@ -122,12 +137,18 @@ def same_site_links(base: str, links: list[str], prefix: str = "/", limit: int |
             u = urlsplit(urldefrag(urljoin(base, link))[0])
         except ValueError:
             continue
-        if u.scheme in ("http", "https") and u.netloc.lower() == origin.netloc.lower() and u.path.startswith(prefix) and "login" not in u.path:
+        if u.scheme in ("http", "https") and u.netloc.lower() == origin.netloc.lower() and u.path.startswith(prefix) and not _LOGIN.search(u.path):
             found.setdefault(f"{u.scheme}://{u.netloc.lower()}{u.path}")
     found.pop(f"{origin.scheme}://{origin.netloc.lower()}{origin.path}", None)
     return list(found)[:limit]
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def site_links(base: pd.Series, links: pd.Series) -> pd.Series:
+    """same_site_links under the folder of each base, as a column."""
+    return pd.Series([None if b is None or ls is None else same_site_links(b, list(ls), urlsplit(b).path.rsplit("/", 1)[0] + "/") for b, ls in zip(base, links)])
+
+
 def json_block(text: str | None) -> str | None:
     """The first balanced JSON object or array in a noisy text that parses, or None."""
     for start in (m.start() for m in re.finditer(r"[{\[]", text or "")):

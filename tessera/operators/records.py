@@ -100,10 +100,10 @@ def heading_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def verified_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether the title of each page, where its text has it, stands exactly at the span found for it."""
-    e, t = load(spark, sf_dir, "evidence", "id", "title"), load(spark, sf_dir, "evidence_text", "evidence_id", "text")
-    rows = e.join(t, e["id"] == t["evidence_id"]).filter("title <> ''").withColumn("start", F.instr("text", F.col("title")) - 1).filter("start >= 0")
-    return rows.select("id", F.col("start").cast("long").alias("start"), (F.substring("text", F.col("start") + 1, F.length("title")) == F.col("title")).alias("verified"))
+    """Whether the title of each page stands in its text at the span found for it in its excerpt, which may be out of date."""
+    e, t = load(spark, sf_dir, "evidence", "id", "title", "excerpt"), load(spark, sf_dir, "evidence_text", "evidence_id", "text")
+    rows = e.filter("title <> ''").withColumn("start", F.instr(F.regexp_replace("excerpt", r"\r", ""), F.col("title")) - 1).filter("start >= 0").join(t, e["id"] == t["evidence_id"])
+    return rows.select("id", F.col("start").cast("long").alias("start"), F.coalesce(F.substring("text", F.col("start") + 1, F.length("title")) == F.col("title"), F.lit(False)).alias("verified"))
 
 
 def bound_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,10 +146,15 @@ def response_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy(kind.alias("kind")).agg(F.count("*").alias("attempts"))
 
 
+_SEARCHED = ("hearthlane.example", "hearthletters.example")
+
+
 def search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose title or topic holds a word in any letter case, of one source list, by folded title."""
-    d = load(spark, sf_dir, "documents", "doc_id", "title", "topic", "source")
-    return d.filter(F.contains(F.lower(F.concat_ws(" ", "title", "topic")), F.lit("laundry"))).select("doc_id", F.lower("title").alias("title"), "source")
+    """Documents of two hosts whose title or topic holds a word in any letter case: the first 100 by folded title, with their places."""
+    d = load(spark, sf_dir, "documents", "doc_id", "title", "topic", "source").filter(F.col("source").isin(*_SEARCHED))
+    hits = d.filter(F.contains(F.lower(F.concat_ws(" ", "title", "topic")), F.lit("a"))).select("doc_id", F.lower("title").alias("title"), "source")
+    top = hits.orderBy(F.asc_nulls_last("title"), "doc_id").limit(100)
+    return top.withColumn("place", F.row_number().over(Window.orderBy(F.asc_nulls_last("title"), "doc_id")).cast("long"))
 
 
 def revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -224,10 +229,24 @@ def identity_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def private_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Final urls by the kind of host: none, local, an address, public."""
-    h = F.lower(F.regexp_extract("final_url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1))
-    kind = F.when(F.col("final_url").isNull() | (h == ""), "none").when((h == "localhost") | h.rlike("[.](local|internal|localhost)$"), "local").when(h.rlike("^(10|127|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]"), "private_address").when(h.rlike("^[0-9.]+$"), "address").otherwise("public")
-    return load(spark, sf_dir, "evidence", "final_url").groupBy(kind.alias("kind")).agg(F.count("*").alias("rows"))
+    """Final urls, and some urls of special hosts, by the kind of host: none, local, a private or public address, public."""
+    urls = load(spark, sf_dir, "evidence", "final_url").union(spark.createDataFrame([(u,) for u in _SPECIAL], "final_url string"))
+    return urls.groupBy(host_kind("final_url").alias("kind")).agg(F.count("*").alias("rows"))
+
+
+_SPECIAL = ("http://localhost:80/", "http://printer.local/", "http://0.0.0.0/", "http://10.1.2.3/x", "http://100.64.9.9/", "http://172.20.0.1/", "http://198.18.0.1/", "http://240.1.1.1/", "http://8.8.8.8/", "http://[::1]/", "http://[fe80::1]/a",
+            "http://[fd00::2]:81/", "http://[2606:4700::1]/", "http://user@192.168.0.9/", "mailto:nobody", "")
+#: Addresses that no public host has: private, loopback, link-local, shared, for tests and documents, and reserved ones.
+_PRIVATE_4 = "^(0|10|127|192[.]168|192[.]0[.](0|2)|169[.]254|172[.](1[6-9]|2[0-9]|3[01])|100[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])|198[.](1[89]|51[.]100)|203[.]0[.]113|2[2-5][0-9])[.]"
+_PRIVATE_6 = r"^\[(::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|2001:db8:.*|::ffff:.*)\]$"
+_HOST_OR_ADDRESS = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]]*\]|[^/?#:@]+)"
+
+
+def host_kind(column: str) -> F.Column:
+    """none, local, private_address, address or public: what kind of host a url (column) names."""
+    h = F.lower(F.regexp_extract(column, _HOST_OR_ADDRESS, 1))
+    local = (h == "localhost") | h.rlike("[.](local|internal|localhost)$")
+    return F.when(F.col(column).isNull() | (h == ""), "none").when(local, "local").when(h.rlike(_PRIVATE_4) | h.rlike(_PRIVATE_6), "private_address").when(h.rlike("^[0-9.]+$") | h.startswith("["), "address").otherwise("public")
 
 
 QUERIES = {
@@ -239,14 +258,15 @@ QUERIES = {
 _LINES = "l as (select evidence_id, n, line, coalesce(sum(length(line) + 1) over (partition by evidence_id order by n rows between unbounded preceding and 1 preceding), 0)::bigint as start from (select evidence_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as n from evidence_text where text is not null))"
 _A = "(select distinct on (id) * from fetch_attempts)"
 _in = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
+KIND_SQL = f"case when h is null or h = '' then 'none' when h = 'localhost' or regexp_matches(h, '[.](local|internal|localhost)$') then 'local' when regexp_matches(h, '{_PRIVATE_4}') or regexp_matches(h, '{_PRIVATE_6}') then 'private_address' when regexp_matches(h, '^[0-9.]+$') or h like '[%' then 'address' else 'public' end"
 SQL = {
     "heading_units": f"with {_LINES}, b as (select *, rtrim(line, chr(13)) as bare from l), h as (select *, case when bare in {_in(_HEADS['ingredients'])} then 'ingredients' when bare in {_in(_HEADS['steps'])} then 'steps' end as head from b), r as (select *, last_value(head ignore nulls) over (partition by evidence_id order by n rows unbounded preceding) as role from h) select evidence_id, role, start, start + length(bare) as end from r where head is null and role is not null and bare <> ''",
-    "verified_spans": "select id, instr(text, title) - 1 as start, substring(text, instr(text, title), length(title)) = title as verified from evidence join evidence_text on id = evidence_id where title <> '' and instr(text, title) > 0",
+    "verified_spans": "select id, s - 1 as start, coalesce(substring(text, s, length(title)) = title, false) as verified from (select id, title, instr(replace(excerpt, chr(13), ''), title) as s from evidence where title <> '') join evidence_text on id = evidence_id where s > 0",
     "surrounding_line": f"with {_LINES} select evidence_id, min(n) as number, arg_min(rtrim(line, chr(13)), n) as line from l where contains(lower(line), 'cookie') group by 1",
     "claim_kinds": "select evidence_id, concat_ws(',', " + ", ".join(f"case when regexp_matches(lower(text), '{p}') then '{k}' end" for k, p in _CLAIMS.items()) + ") as kinds from evidence_text where kinds <> ''",
     "proper_names": "select doc_id, name from (select doc_id, text, unnest(list_distinct(regexp_extract_all(title, '[a-z] ([A-Z][a-z]+(?: [A-Z][a-z]+)*)', 1))) as name from documents where title is not null and text is not null) where not contains(text, name)",
     "response_classes": f"select case when robots_status = 'disallowed' then 'robots' when http_status in (401, 403) then 'blocked' when contains(reason, 'login wall') or contains(reason, 'paywall') then 'wall' when http_status = 404 then 'missing' when http_status >= 400 then 'error' when http_status is null then 'none' else 'ok' end as kind, count(*) as attempts from {_A} group by 1",
-    "search": "select doc_id, lower(title) as title, source from documents where contains(lower(concat_ws(' ', title, topic)), 'laundry')",
+    "search": f"select doc_id, lower(title) as title, source, row_number() over (order by lower(title) nulls last, doc_id) as place from documents where source in {_in(_SEARCHED)} and contains(lower(concat_ws(' ', title, topic)), 'a') order by place limit 100",
     "revisions": "with f as (select * from evidence where final_url is not null qualify row_number() over (partition by url, final_url order by fetched_at, id) = 1) select url, id, row_number() over (partition by url order by fetched_at, id) as revision from f",
     "order_guard": "with r as (select user_id, value, max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as top from events) select user_id, count(*) filter (value > coalesce(top, '-infinity'::double)) as records, count(*) as events from r group by 1",
     "display_names": r"select coalesce(nullif(trim(regexp_replace(regexp_extract(attribution, '^([^;]*)', 1), ' *\([^()]*\)$', '')), ''), regexp_replace(regexp_extract(url, '^[^:]+://([^/]+)', 1), '^www[.]', '')) as name, count(*) as rows from evidence group by 1",
@@ -255,5 +275,5 @@ SQL = {
     "age_labels": "select case when a is null then 'unknown' when a < 0 then 'later' when a < 3600 then 'minutes' when a < 86400 then 'hours' when a < 86400 * 30 then 'days' else 'months' end as label, count(*) as documents from (select 1735689600 - floor(epoch_us(fetched_at) / 1000000) as a from documents) group by 1",
     "intents": "with f as (select id, count(*) as n, count(distinct to_json(fetch_attempts)::varchar) as forms from fetch_attempts group by id) select case when forms = 1 then 'accepted' else 'refused' end as verdict, count(*) as ids from f where n > 1 group by 1",
     "dashboard": "select (select count(*) from evidence) as evidence, (select count(distinct id) from fetch_attempts) as attempts, (select '[' || string_agg(id, ',' order by fetched_at desc, id desc) || ']' from (select id, fetched_at from evidence order by fetched_at desc, id desc limit 25)) as newest",
-    "private_hosts": r"with h as (select final_url, lower(regexp_extract(final_url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) as h from evidence) select case when final_url is null or h = '' then 'none' when h = 'localhost' or regexp_matches(h, '[.](local|internal|localhost)$') then 'local' when regexp_matches(h, '^(10|127|192[.]168|169[.]254|172[.](1[6-9]|2[0-9]|3[01]))[.]') then 'private_address' when regexp_matches(h, '^[0-9.]+$') then 'address' else 'public' end as kind, count(*) as rows from h group by 1",
+    "private_hosts": f"with h as (select final_url, lower(regexp_extract(final_url, '{_HOST_OR_ADDRESS}', 1)) as h from (select final_url from evidence union all select unnest([{', '.join(repr(u) for u in _SPECIAL)}]))) select {KIND_SQL} as kind, count(*) as rows from h group by 1",
 }

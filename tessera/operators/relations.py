@@ -15,14 +15,17 @@ def host(column: str | Column) -> Column:
 
 
 def reserved_top(rows: DataFrame, limit: int, order: list[Column], unexplored: Column) -> DataFrame:
-    """The first `limit` rows in `order`, a third of the places (one at least) kept for unexplored rows if there are any."""
+    """The first `limit` rows in `order`, a third of the places (one at least) kept for unexplored rows if there are any.
+
+    The reserve decides which rows are picked; they come out in `order` all the same.
+    """
     share = max(1, limit // 3)
     first = rows.withColumn("_new", unexplored)
     picked = first.filter("_new").orderBy(*order).limit(share)
     key = rows.columns[0]
     rest = first.join(picked.select(key), key, "left_anti").orderBy(*order).limit(limit)
     ranked = picked.withColumn("_r", F.lit(0)).unionByName(rest.withColumn("_r", F.lit(1)))
-    return ranked.orderBy("_r", *order).limit(limit).drop("_new", "_r")
+    return ranked.orderBy("_r", *order).limit(limit).orderBy(*order).drop("_new", "_r")
 
 
 def roots(edges: DataFrame, child: str, parent: str, levels: int = 5) -> DataFrame:
@@ -72,7 +75,9 @@ def exploration_reserve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """30 customers by balance, a third of the places kept for those without an order in 1998."""
     recent = load(spark, sf_dir, "orders", "o_custkey", "o_orderdate").filter("o_orderdate >= '1998-01-01'").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("_seen", F.lit(True))
     rows = load(spark, sf_dir, "customer", "c_custkey", "c_acctbal").join(recent, "c_custkey", "left")
-    return reserved_top(rows, 30, [F.desc("c_acctbal"), F.asc("c_custkey")], F.col("_seen").isNull()).select("c_custkey", "c_acctbal")
+    picked = reserved_top(rows, 30, [F.desc("c_acctbal"), F.asc("c_custkey")], F.col("_seen").isNull())
+    # 30 rows: one window over them numbers the places
+    return picked.select("c_custkey", "c_acctbal", F.row_number().over(Window.orderBy(F.desc("c_acctbal"), "c_custkey")).cast("long").alias("place"))
 
 
 def backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +236,7 @@ r as (select publisher_id, root, depth from w qualify row_number() over (partiti
 _A = "(select distinct on (id) *, lower(trim(coalesce(outcome, ''))) as t from fetch_attempts)"
 SQL = {
     "due_sources": f"with l as (select * from {_A} where url is not null qualify row_number() over (partition by url order by attempted_at desc nulls last, id desc) = 1) select url, epoch_us(attempted_at) as last_us from l where (robots_status is null or robots_status <> 'disallowed') and attempted_at < (select max(attempted_at) from fetch_attempts where url is not null) - interval 7 day order by attempted_at, url limit 500",
-    "exploration_reserve": "with r as (select c_custkey, c_acctbal, c_custkey not in (select o_custkey from orders where o_orderdate >= '1998-01-01') as fresh from customer), p as (select * from r where fresh order by c_acctbal desc, c_custkey limit 10) select c_custkey, c_acctbal from (select c_custkey, c_acctbal, 0 as k from p union all (select c_custkey, c_acctbal, 1 as k from r where c_custkey not in (select c_custkey from p) order by c_acctbal desc, c_custkey limit 30)) order by k, c_acctbal desc, c_custkey limit 30",
+    "exploration_reserve": "select *, row_number() over (order by c_acctbal desc, c_custkey) as place from (with r as (select c_custkey, c_acctbal, c_custkey not in (select o_custkey from orders where o_orderdate >= '1998-01-01') as fresh from customer), p as (select * from r where fresh order by c_acctbal desc, c_custkey limit 10) select c_custkey, c_acctbal from (select c_custkey, c_acctbal, 0 as k from p union all (select c_custkey, c_acctbal, 1 as k from r where c_custkey not in (select c_custkey from p) order by c_acctbal desc, c_custkey limit 30)) order by k, c_acctbal desc, c_custkey limit 30)",
     "backlog": "select id, url from evidence where id not in (select evidence_id from evidence_text) order by fetched_at desc, id desc limit 25",
     "alias_lookup": f"with e as (select {_HOST.format('url')} as host, max(attribution) as attribution from evidence group by 1) select e.host, coalesce(h.publisher_id, n.publisher_id) as publisher_id, case when h.publisher_id is not null then 'host' when n.publisher_id is not null then 'alias' end as by from e left join publishers h on h.host = e.host left join publishers n on n.canonical_name = e.attribution",
     "three_way": "select a.id, a.evidence_id, version_no::bigint as version_no, length(text) as chars from (select distinct id, evidence_id from fetch_attempts where evidence_id is not null) a join evidence e on e.id = a.evidence_id left join evidence_text t on t.evidence_id = a.evidence_id",
@@ -242,7 +247,7 @@ SQL = {
     "array_sets": "with k as (select case_id, json_keys(document) as keys from holdout_cases where try_cast(document as json) is not null), a as (select ['name', 'completeness', 'conflicts', 'unknown_fields'] as allowed) select case_id, coalesce(array_to_string(list_sort(list_filter(allowed, lambda x: not list_contains(keys, x))), ','), '') as missing, coalesce(array_to_string(list_sort(list_filter(keys, lambda x: not list_contains(allowed, x))), ','), '') as surplus, list_has_any(allowed, keys) as overlap from k, a where keys is not null",
     "publisher_roots": f"{_ROOTS} select publisher_id, root, depth from r",
     "independent_publishers": f"{_ROOTS}, o as (select canonical_name as attribution, publisher_id, root from r join publishers using (publisher_id)) select content_hash, count(distinct url) as urls, count(distinct publisher_id) as publishers, count(distinct root) as owners from evidence left join o using (attribution) group by content_hash having count(distinct url) > 1",
-    "version_ancestry": "with recursive w as (select id, supersedes_id as ancestor, 1::bigint as depth from evidence where supersedes_id is not null union all select w.id, e.supersedes_id, depth + 1 from w join evidence e on e.id = w.ancestor where e.supersedes_id is not null and depth < 20) select * from w",
+    "version_ancestry": "with recursive w as (select id, supersedes_id as ancestor, 1::bigint as depth from evidence where supersedes_id is not null union all select w.id, e.supersedes_id, depth + 1 from w join evidence e on e.id = w.ancestor where e.supersedes_id is not null) select * from w",
     "slot_collisions": "select p_partkey, p_brand, p_size from part qualify count(*) over (partition by p_brand, p_size) = 1",
     "duplicate_keys": "select id, count(*) as rows, count(distinct (url, outcome, attempted_at)) filter (url is not null and outcome is not null and attempted_at is not null) as forms from fetch_attempts group by id having count(*) > 1",
     "queue_claim": "select c_mktsegment, arg_min(o_orderkey, (o_orderpriority, o_orderdate, o_orderkey)) as o_orderkey from orders join customer on o_custkey = c_custkey where o_orderstatus = 'O' group by 1",

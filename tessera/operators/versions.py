@@ -95,10 +95,14 @@ def failure_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def next_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """When each url is due again: a ladder of hours by open failures, a week after success; stalled from the third on."""
-    hours = F.when(F.col("open_failures") == 0, 168).otherwise(F.element_at(F.array(*(F.lit(h) for h in (1, 4, 24, 72, 168))), F.least(F.col("open_failures"), F.lit(5)).cast("int")))
-    last = _streaks(spark, sf_dir).groupBy("url").agg(F.max_by("failures", F.struct("attempted_at", "id")).alias("open_failures"), F.unix_micros(F.max("attempted_at")).alias("last_us"))
-    return last.select("url", "open_failures", (F.col("last_us") + hours.cast("long") * 3_600_000_000).alias("due_us"), (F.col("open_failures") >= 3).alias("stalled"))
+    """When each url is due again: a week after success, else by a ladder of hours for errors and one for blocks, by open
+    failures. Blocks stall from the third failure on; errors never do."""
+    rung = lambda steps: F.element_at(F.array(*(F.lit(h) for h in steps)), F.least(F.col("open_failures"), F.lit(len(steps))).cast("int"))
+    blocked = F.col("class") == "blocked"
+    hours = F.when(F.col("open_failures") == 0, 168).when(blocked, rung((168, 720))).otherwise(rung((1, 4, 24, 72, 168)))
+    at = F.struct("attempted_at", "id")
+    last = _streaks(spark, sf_dir).groupBy("url").agg(F.max_by("failures", at).alias("open_failures"), F.max_by("class", at).alias("class"), F.unix_micros(F.max("attempted_at")).alias("last_us"))
+    return last.select("url", "open_failures", (F.col("last_us") + hours.cast("long") * 3_600_000_000).alias("due_us"), (blocked & (F.col("open_failures") >= 3)).alias("stalled"))
 
 
 def last_attempt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,7 +123,7 @@ QUERIES = {f.__name__: f for f in (version_chain, latest_version, distinct_conte
 _FIRST = "select * from evidence where url is not null and content_hash is not null qualify row_number() over (partition by url, content_hash order by fetched_at, id) = 1"
 _CLASS = """case when t like 'ok%' or t = 'success' then 'ok' when t like 'block%' then 'blocked' when t like 'skip%' or t = 'policy' then 'skipped_policy' when t like 'er%' then 'error' else 'other' end"""
 _DELIVERED = "(select distinct on (id) *, lower(trim(coalesce(outcome, ''))) as t from fetch_attempts)"
-_ISLANDS = f"""with a as (select id, url, attempted_at, {_CLASS} in ('error', 'blocked') as bad from {_DELIVERED} where url is not null),
+_ISLANDS = f"""with a as (select id, url, attempted_at, {_CLASS} as class, {_CLASS} in ('error', 'blocked') as bad from {_DELIVERED} where url is not null),
 b as (select *, sum(case when bad then 0 else 1 end) over (partition by url order by attempted_at, id rows unbounded preceding) as island from a),
 s as (select *, cast(sum(bad::int) over (partition by url, island order by attempted_at, id rows unbounded preceding) as bigint) as failures from b)"""
 SQL = {
@@ -130,7 +134,7 @@ SQL = {
     "content_changes": "select event_id, user_id, event_type, previous from (select *, lag(event_type) over (partition by user_id order by ts, event_id) as previous from events) where previous is distinct from event_type",
     "pointer_current": f"with f as ({_FIRST}), l as (select * from evidence qualify row_number() over (partition by url order by fetched_at desc nulls last, id desc) = 1) select l.url, l.id as observed_id, f.id as current_id from l join f on l.url = f.url and l.content_hash = f.content_hash",
     "failure_streaks": f"{_ISLANDS} select url, count(*) as attempts, max(failures) as longest, arg_max(failures, (attempted_at, id)) as open_failures from s group by url",
-    "next_check": f"{_ISLANDS}, l as (select url, arg_max(failures, (attempted_at, id)) as open_failures, epoch_us(max(attempted_at)) as last_us from s group by url) select url, open_failures, last_us + (case when open_failures = 0 then 168 else [1, 4, 24, 72, 168][least(open_failures, 5)] end)::bigint * 3600000000 as due_us, open_failures >= 3 as stalled from l",
+    "next_check": f"{_ISLANDS}, l as (select url, arg_max(failures, (attempted_at, id)) as open_failures, arg_max(class, (attempted_at, id)) as class, epoch_us(max(attempted_at)) as last_us from s group by url) select url, open_failures, last_us + (case when open_failures = 0 then 168 when class = 'blocked' then [168, 720][least(open_failures, 2)] else [1, 4, 24, 72, 168][least(open_failures, 5)] end)::bigint * 3600000000 as due_us, class = 'blocked' and open_failures >= 3 as stalled from l",
     "last_attempt": f"select url, id, epoch_us(attempted_at) as attempted_us, http_status::bigint as http_status from {_DELIVERED} where url is not null qualify row_number() over (partition by url order by attempted_at desc nulls last, id desc) = 1",
     "ordinal_names": "select doc_id, case when n > 1 then title || ' #' || n else title end as name from (select *, row_number() over (partition by source, title order by doc_id) as n from documents where title is not null)",
 }

@@ -55,9 +55,11 @@ def publish_snapshot(df: DataFrame, root: str) -> str:
     out = fs.create(draft, True)
     out.write(bytearray(name.encode()))
     out.close()
-    if fs.exists(current):
-        fs.delete(current, False)
-    fs.rename(draft, current)
+    # one rename that replaces the pointer: a reader finds the old one or the new one
+    jvm = spark._jvm
+    overwrite = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    overwrite[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration()).rename(draft, current, overwrite)
     return f"{root}/{name}"
 
 
@@ -96,7 +98,18 @@ def backup(df: DataFrame, path: str) -> tuple[int, int]:
     return copy
 
 
-def markdown_table(df: DataFrame, title: str, order: list[str], limit: int = 1000) -> DataFrame:
+def restore(spark: SparkSession, path: str, to: str, expected: tuple[int, int]) -> DataFrame:
+    """A backup copied to a path that doesn't exist yet, after its rows and digest (of backup()) are found as they were."""
+    if path.rstrip("/") == to.rstrip("/"):
+        raise ValueError(f"{to} is the backup itself")
+    df = spark.read.parquet(path)
+    if (found := content_digest(df)) != expected:
+        raise ValueError(f"the backup at {path} has {found}, not {expected}")
+    backup(df, to)
+    return spark.read.parquet(to)
+
+
+def markdown_table(df: DataFrame, title: str, order: list[str], limit: int) -> DataFrame:
     """(value) lines of a Markdown report of the first `limit` rows: a heading and a table, with pipes escaped."""
     cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("|"), F.lit("\\|"))
     rows = df.orderBy(*order).limit(limit).select(F.row_number().over(Window.orderBy(*order)).alias("_line"), F.concat(F.lit("| "), F.concat_ws(" | ", *(cell(c) for c in df.columns)), F.lit(" |")).alias("value"))

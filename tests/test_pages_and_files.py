@@ -3,22 +3,26 @@ import json
 import pytest
 
 from tessera.functions.html import canonical_json, json_block, parse_page, same_site_links
-from tessera.sources.files import backup, content_digest, current_snapshot, json_documents, manifest, markdown_table, newest_file, publish_if_changed, publish_snapshot
+from tessera.sources.files import backup, content_digest, current_snapshot, json_documents, manifest, markdown_table, newest_file, publish_if_changed, publish_snapshot, restore
+from tessera.sources.tables import persisted, release
 from tessera.streaming.inbox import append_new, daily_quota, event_stream, to_table
 
 
 def test_page_text_title_dates_and_links():
-    html = """<html><head><title>A &amp; B</title><title>no</title><meta property="article:published_time" content="2024-01-01"><script>var x</script></head>
+    html = """<html><head><title>A &amp; B</title> <title>no</title><meta property="article:published_time" content=""><meta name="pubdate" content="2020-01-01"><meta name="dateModified" content="2024-02-02"><meta property="article:published_time" content="2024-01-01"><script>var x</script></head>
     <body><nav><a href="/nav">menu</a></nav><h1>Head</h1><p>One&nbsp;two<br>three</p><a href="x?q=1#f">x</a><footer>end</footer></body></html>"""
-    title, text, date, basis, links = parse_page(html)
-    assert (title, text, date, basis) == ("A & B", "Head\nOne two\nthree\nx", "2024-01-01", "meta:article:published_time")
+    title, text, date, basis, modified, links = parse_page(html)
+    assert (title, text, date, basis, modified) == ("A & B", "A & B no\nHead\nOne two\nthree\nx", "2024-01-01", "meta:article:published_time", "2024-02-02")
+    assert parse_page('<meta name="pubdate" content="2020-01-01"><meta name="date" content="2024-01-01">')[2:4] == ("2024-01-01", "meta:date")
+    assert parse_page('<meta name="DATEPUBLISHED" content="2024-01-01">')[2:4] == ("2024-01-01", "meta:datePublished")
+    assert same_site_links("https://a.example/b/", ["/b/login", "/b/loginfo", "https://c.example/b/x", "http://[", "/b/"]) == ["https://a.example/b/loginfo"]
     assert same_site_links("https://a.example/b/", links) == ["https://a.example/nav", "https://a.example/b/x"]
-    assert parse_page(None) == (None, "", None, "unknown", [])
+    assert parse_page(None) == (None, "", None, "unknown", None, [])
     assert parse_page("<p>unclosed <b>text")[1] == "unclosed text"
 
 
 def test_structured_dates():
-    assert parse_page('<script type="application/ld+json">{"@graph":[{"datePublished":"2023-05-05"}]}</script>')[2:4] == ("2023-05-05", "jsonld:datePublished")
+    assert parse_page('<script type="application/ld+json">{"@graph":[{"datePublished":"2023-05-05","x":{"dateModified":"2023-06-06"}}]}</script>')[2:5] == ("2023-05-05", "jsonld:datePublished", "2023-06-06")
     assert parse_page('<script type="application/ld+json">{broken</script>')[2:4] == (None, "unknown")
 
 
@@ -49,10 +53,15 @@ def test_snapshots(spark, tmp_path):
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
         backup(df, str(tmp_path / "copy"))
     assert content_digest(df.limit(0))[0] == 0
+    assert restore(spark, str(tmp_path / "copy"), str(tmp_path / "again"), content_digest(df)).count() == 10
+    with pytest.raises(ValueError, match="not"):
+        restore(spark, str(tmp_path / "copy"), str(tmp_path / "third"), (9, 0))
+    kept = persisted(df)
+    assert kept.count() == 10 and release(spark) >= 1 and release(spark) == 0
 
 
 def test_markdown(spark):
-    out = [r[0] for r in markdown_table(spark.createDataFrame([("b|c", 2), (None, 1)], "a string, n int"), "T", ["n"]).collect()]
+    out = [r[0] for r in markdown_table(spark.createDataFrame([("b|c", 2), (None, 1)], "a string, n int"), "T", ["n"], 10).collect()]
     assert out == ["# T\n", "| a | n |", "| --- | --- |", "|  | 1 |", "| b\\|c | 2 |"]
 
 
