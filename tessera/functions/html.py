@@ -112,7 +112,7 @@ def parse_page(html: str | None) -> tuple[str | None, str, str | None, str, str
         if date := first_string(nodes, "datePublished"):
             basis = "jsonld:datePublished"
         changed = changed or first_string(nodes, "dateModified")
-    return title, normal_text("".join(page.parts)), date or None, basis, changed, page.links
+    return title, normal_text("".join(page.parts)), date or None, basis, changed or None, page.links
 
 
 def parsed_json(text: str) -> object:
