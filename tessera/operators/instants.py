@@ -2,12 +2,16 @@
 
 The distinct (raw text, zone, day order) combinations of a table form a dictionary; each is parsed once, the parsed part
 of the dictionary is written to a table, and the instants are joined back to the rows. Given the table of an earlier
-run, only values that it lacks are parsed, and are appended to it.
+run, only values that it lacks are parsed, and are appended to it. What a zone's abbreviation denotes depends on the zones
+in use, so rows are kept with a digest of those, and other zones find no rows of theirs. Runs at the same time may append a
+value twice; it is read once.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from zoneinfo import available_timezones
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +21,8 @@ from tessera.functions.dates import instant
 from tessera.sources.tables import load, persisted
 
 KEY = ["raw", "zone", "day_order", "trusted"]
+#: The setting that names the dictionary which p2_found keeps between runs; unset, it lives for one run.
+KEPT = "spark.tessera.dates.dictionary"
 DICTIONARY = "raw string, zone string, day_order string, trusted boolean, utc_us long"
 
 
@@ -44,21 +50,23 @@ def normalise(values: DataFrame, zones: tuple[str, ...], dictionary: str | None
     if dictionary is None:
         known = persisted(parsed(distinct, zones))
     else:
+        digest = hashlib.sha256("\n".join(zones).encode()).hexdigest()
+        stored = lambda: spark.read.schema(f"{DICTIONARY}, zones string").parquet(dictionary).filter(F.col("zones") == digest).drop("zones")
         old = None
         try:
-            old = spark.read.schema(DICTIONARY).parquet(dictionary)
+            old = stored()
         except Exception as e:  # noqa: BLE001
             if "PATH_NOT_FOUND" not in str(e):
                 raise
         new = persisted(parsed(distinct.join(old, KEY, "left_anti") if old else distinct, zones))
-        new.write.mode("append").parquet(dictionary)
-        known = spark.read.schema(DICTIONARY).parquet(dictionary)
+        new.withColumn("zones", F.lit(digest)).write.mode("append").parquet(dictionary)
+        known = stored().groupBy(*KEY).agg(F.max("utc_us").alias("utc_us"))
     return keyed.join(known.filter("utc_us is not null"), KEY)
 
 
 def publisher_zones(publishers: DataFrame) -> tuple[str, ...]:
-    """The distinct zone names, sorted; the zone database bounds them (about 600)."""
-    return tuple(sorted(r[0] for r in publishers.select("zone_name").filter("zone_name is not null").distinct().limit(1000).collect()))
+    """The distinct zone names that the zone database has, sorted; it bounds them (about 600)."""
+    return tuple(sorted(r[0] for r in publishers.select("zone_name").filter(F.col("zone_name").isin(*sorted(available_timezones()))).distinct().collect()))
 
 
 def evidence_dates(evidence: DataFrame, publishers: DataFrame) -> DataFrame:
@@ -82,7 +90,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(evidence_id, field_name, utc_us): the instants that published_at and modified_at denote."""
     publishers = load(spark, sf_dir, "publishers", "canonical_name", "zone_name", "date_order")
     evidence = load(spark, sf_dir, "evidence", "id", "attribution", "published_at", "published_at_basis", "modified_at")
-    return normalise(evidence_dates(evidence, publishers), publisher_zones(publishers)).select("evidence_id", "field_name", "utc_us")
+    kept = spark.conf.get(KEPT, None)
+    return normalise(evidence_dates(evidence, publishers), publisher_zones(publishers), kept).select("evidence_id", "field_name", "utc_us")
 
 
 QUERIES = {"p2_found": p2_found}

@@ -248,6 +248,7 @@ SQL = {
     "publisher_roots": f"{_ROOTS} select publisher_id, root, depth from r",
     "independent_publishers": f"{_ROOTS}, o as (select canonical_name as attribution, publisher_id, root from r join publishers using (publisher_id)) select content_hash, count(distinct url) as urls, count(distinct publisher_id) as publishers, count(distinct root) as owners from evidence left join o using (attribution) group by content_hash having count(distinct url) > 1",
     "version_ancestry": "with recursive w as (select id, supersedes_id as ancestor, 1::bigint as depth from evidence where supersedes_id is not null union all select w.id, e.supersedes_id, depth + 1 from w join evidence e on e.id = w.ancestor where e.supersedes_id is not null) select * from w",
+    "content_components": "with recursive e as (select id, content_hash, final_url from evidence), s as (select id as a, min(id) over (partition by content_hash) as b from e where content_hash is not null union select id, min(id) over (partition by final_url) from e where final_url is not null), l as (select a, b from s where a <> b union select b, a from s where a <> b), r as (select a, a as b from l union select r.a, l.b from r join l on l.a = r.b) select a as id, min(b) as component from r group by 1",
     "slot_collisions": "select p_partkey, p_brand, p_size from part qualify count(*) over (partition by p_brand, p_size) = 1",
     "duplicate_keys": "select id, count(*) as rows, count(distinct (url, outcome, attempted_at)) filter (url is not null and outcome is not null and attempted_at is not null) as forms from fetch_attempts group by id having count(*) > 1",
     "queue_claim": "select c_mktsegment, arg_min(o_orderkey, (o_orderpriority, o_orderdate, o_orderkey)) as o_orderkey from orders join customer on o_custkey = c_custkey where o_orderstatus = 'O' group by 1",

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState
 
 
 def event_stream(spark: SparkSession, path: str, schema: str, files_per_batch: int = 10) -> DataFrame:
@@ -18,6 +22,27 @@ def daily_quota(events: DataFrame, lateness: str = "1 day") -> DataFrame:
     return known.groupBy(F.window("ts", "1 day"), "event_type").agg(F.count("*").alias("events")).select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "events")
 
 
+def failure_counts(attempts: DataFrame) -> DataFrame:
+    """(url, failures, attempts) after each batch of a stream of (id, url, attempted_at, bad): failures since the last success.
+
+    State is one row a url: the counters and the place of the last attempt counted. Attempts are taken in order within a
+    batch; one that lies before what was counted already, or is delivered again, changes nothing. Null urls are left out.
+    """
+
+    def step(key: tuple[str], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        failures, count, at, last = state.get if state.exists else (0, 0, -(2**63), -(2**63))
+        for part in parts:
+            us = part["attempted_at"].astype("datetime64[us]").astype("int64")
+            for t, i, bad in sorted(zip(us.tolist(), part["id"].tolist(), part["bad"].tolist())):
+                if (t, i) > (at, last):
+                    failures, count, at, last = (failures + 1 if bad else 0), count + 1, t, i
+        state.update((failures, count, at, last))
+        yield pd.DataFrame({"url": [key[0]], "failures": [failures], "attempts": [count]})
+
+    shape = "failures long, attempts long, at long, last long"
+    return attempts.filter("url is not null").groupBy("url").applyInPandasWithState(step, "url string, failures long, attempts long", shape, "update", "NoTimeout")
+
+
 def append_new(stream: DataFrame, path: str, keys: list[str], checkpoint: str) -> StreamingQuery:
     """Appends rows whose keys the Parquet table at `path` lacks; a batch that is replayed adds nothing."""
 

@@ -34,3 +34,22 @@ def test_dictionary_parses_new_values_once(spark, tmp_path):
     more = values.union(values.limit(1).withColumn("raw", F.lit("2025-01-01T00:00Z")))
     assert normalise(more, zones, path).count() == 3
     assert spark.read.parquet(path).count() == before + 1
+    # other zones parse anew, and what two runs appended at once is read once
+    assert normalise(more, (*zones, "America/Chicago"), path).count() == 3
+    assert spark.read.parquet(path).count() == 2 * (before + 1)
+    spark.read.parquet(path).write.mode("append").parquet(str(tmp_path / "twice"))
+    spark.read.parquet(path).write.mode("append").parquet(str(tmp_path / "twice"))
+    assert normalise(more, zones, str(tmp_path / "twice")).count() == 3
+    assert publisher_zones(publishers.union(spark.createDataFrame([("C", "No/Where", "DMY")], publishers.schema))) == zones
+
+
+def test_the_kept_dictionary_is_a_setting(spark, tmp_path):
+    from tessera.operators.instants import KEPT, p2_found
+
+    first = p2_found(spark, "/root/testdata/sf0.001").count()
+    spark.conf.set(KEPT, str(tmp_path / "kept"))
+    try:
+        assert p2_found(spark, "/root/testdata/sf0.001").count() == first == p2_found(spark, "/root/testdata/sf0.001").count()
+        assert spark.read.parquet(str(tmp_path / "kept")).groupBy("raw", "zone", "day_order", "trusted").count().filter("count > 1").count() == 0
+    finally:
+        spark.conf.unset(KEPT)
