@@ -28,7 +28,8 @@ def _page(head: Column, title: Column, body: Column) -> Column:
     return F.concat(F.lit("<html><head><title>"), _escaped(F.coalesce(title, F.lit(""))), F.lit("</title>"), head, F.lit("</head><body><nav>menu</nav>"), body, F.lit("<aside>more</aside></body></html>"))
 
 
-_PARAGRAPHS = F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>"))), "")
+def _paragraphs() -> Column:
+    return F.array_join(F.transform(F.split("text", "\n"), lambda x: F.concat(F.lit("<p>"), _escaped(x), F.lit("</p>"))), "")
 
 
 def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     blob = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.array(F.struct(day.alias("datePublished"), changed.alias("dateModified"))).alias("@graph"))), F.lit("</script>"))
     form = F.pmod("id", F.lit(4))
     head = F.when(form == 0, F.concat(meta("article:published_time", day), meta("dateModified", changed))).when(form == 1, F.concat(meta("pubdate", day), meta("date", F.concat(day, F.lit("x"))), meta("datemodified", changed))).when(form == 2, blob).otherwise(F.lit(""))
-    rows = spread(_texts(spark, sf_dir, "published_at", "modified_at").select("id", _page(head, F.col("title"), _PARAGRAPHS).alias("html")))
+    rows = spread(_texts(spark, sf_dir, "published_at", "modified_at").select("id", _page(head, F.col("title"), _paragraphs()).alias("html")))
     p = rows.select("id", extract_page("html").alias("p")).select("id", "p.*")
     return p.select("id", "title", "published_at", "basis", "modified_at", F.sha2("text", 256).alias("digest"), injections("text").alias("flags"), F.length(F.left("text", F.lit(1200))).cast("long").alias("excerpt"))
 
@@ -61,7 +62,7 @@ def _recipe_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     blob = F.concat(F.lit('<script type="application/ld+json">'), F.to_json(F.struct(F.lit("Recipe").alias("@type"), F.col("title").alias("name"), F.col("things").alias("recipeIngredient"), F.transform("steps", lambda x: F.struct(x.alias("text"))).alias("recipeInstructions"), F.lit("PT20M").alias("prepTime"))), F.lit("</script>"))
     item = lambda xs, name: F.array_join(F.transform(xs, lambda x: F.concat(F.lit(f'<span itemprop="{name}">'), _escaped(x), F.lit("</span>"))), "")
     form = F.pmod("id", F.lit(3))
-    return spread(rows.select("id", "title", "text", _page(F.when(form == 0, blob).otherwise(F.lit("")), F.col("title"), F.concat(F.when(form == 1, F.concat(item("things", "recipeIngredient"), item("steps", "recipeInstructions"))).otherwise(F.lit("")), _PARAGRAPHS)).alias("html")))
+    return spread(rows.select("id", "title", "text", _page(F.when(form == 0, blob).otherwise(F.lit("")), F.col("title"), F.concat(F.when(form == 1, F.concat(item("things", "recipeIngredient"), item("steps", "recipeInstructions"))).otherwise(F.lit("")), _paragraphs())).alias("html")))
 
 
 def record_units(spark: SparkSession, sf_dir: str) -> DataFrame:
