@@ -114,18 +114,25 @@ def bound_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def surrounding_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first line of each text that names a cookie in any letter case, with its number from 1."""
+    """The lines of each text that name a cookie in any letter case, with their numbers from 1."""
     rows = _lines(spark, sf_dir).filter(F.contains(F.lower("line"), F.lit("cookie")))
-    return rows.groupBy("evidence_id").agg((F.min("n") + 1).cast("long").alias("number"), F.min_by(F.regexp_replace("line", "\r$", ""), "n").alias("line"))
+    return rows.select("evidence_id", (F.col("n") + 1).cast("long").alias("number"), F.regexp_replace("line", "\r$", "").alias("line"))
 
 
-# What a text claims about offers, by wordings.
-_CLAIMS = {"discount": "[0-9]+ ?(%|percent) off|discount|sale price", "price": "[$€£] ?[0-9]|[0-9] ?(dollars|euros)", "purchase": "buy now|add to cart|order (now|today)|shop link", "stock": "in stock|out of stock|sold out"}
+# What a text claims about offers, by wordings; a buy guide is no offer.
+_CLAIMS = {
+    "discount": r"\b(\d+\s?% off|on sale|discount(ed)?|deal of the day|promo code|coupon)\b",
+    "price": r"[$€£]\s?\d|\b\d+([.,]\d+)?\s?(usd|dollars|eur|gbp)\b",
+    "purchase": r"\b(buy|purchase|add to cart)\b|\border (the|a|an|it|now|today|online|from|yours)\b|(?:^|[.!?]\s+)order\b|\bshop (for|the|now|at|it)\b",
+    "stock": r"\b(in|out of|back in|low) stock\b|\b(sold out|available (now|today)|ships (today|tomorrow)|limited (stock|quantity))\b",
+}
+_OFFERS = ("Buy it today, 20% off!", "A buy guide.", "It costs 12.50 eur. Order now", "Sold out, ships tomorrow", "No offer here", "$ 5")
 
 
 def claim_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds of commercial claims in page texts, sorted, where there are any."""
-    t = load(spark, sf_dir, "evidence_text", "evidence_id", "text").withColumn("l", F.lower("text"))
+    """Kinds of commercial claims in page texts, and in some sentences (with negative ids), sorted, where there are any."""
+    t = load(spark, sf_dir, "evidence_text", "evidence_id", "text").union(spark.createDataFrame([(-n, x) for n, x in enumerate(_OFFERS, 1)], "evidence_id long, text string"))
+    t = t.withColumn("l", F.regexp_replace(F.lower("text"), r"\bbuy\s+guide", "guide"))
     return t.select("evidence_id", F.concat_ws(",", *(F.when(F.col("l").rlike(p), k) for k, p in _CLAIMS.items())).alias("kinds")).filter("kinds <> ''")
 
 
@@ -188,11 +195,11 @@ def escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def minute_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The minutes that documents name first, as labels like 1 hr 20 min, counted."""
-    m = load(spark, sf_dir, "documents", "text").select(F.regexp_extract("text", "([0-9]{1,4}) minutes", 1).try_cast("long").alias("m")).filter("m is not null")
+    """The minutes that documents name, all of them, as labels like 1 hr 20 min, counted."""
+    m = load(spark, sf_dir, "documents", "text").select(F.explode(F.regexp_extract_all("text", F.lit("([0-9]{1,4}) minutes"), 1)).alias("m")).select(F.col("m").cast("long").alias("m"))
     hours, rest = F.expr("m div 60"), F.col("m") % 60
     label = F.when(hours == 0, F.concat(rest.cast("string"), F.lit(" min"))).when(rest == 0, F.concat(hours.cast("string"), F.lit(" hr"))).otherwise(F.concat(hours.cast("string"), F.lit(" hr "), rest.cast("string"), F.lit(" min")))
-    return m.groupBy(label.alias("label")).agg(F.count("*").alias("documents"))
+    return m.groupBy(label.alias("label")).agg(F.count("*").alias("mentions"))
 
 
 def age_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,8 +269,8 @@ KIND_SQL = f"case when h is null or h = '' then 'none' when h = 'localhost' or r
 SQL = {
     "heading_units": f"with {_LINES}, b as (select *, rtrim(line, chr(13)) as bare from l), h as (select *, case when bare in {_in(_HEADS['ingredients'])} then 'ingredients' when bare in {_in(_HEADS['steps'])} then 'steps' end as head from b), r as (select *, last_value(head ignore nulls) over (partition by evidence_id order by n rows unbounded preceding) as role from h) select evidence_id, role, start, start + length(bare) as end from r where head is null and role is not null and bare <> ''",
     "verified_spans": "select id, s - 1 as start, coalesce(substring(text, s, length(title)) = title, false) as verified from (select id, title, instr(replace(excerpt, chr(13), ''), title) as s from evidence where title <> '') join evidence_text on id = evidence_id where s > 0",
-    "surrounding_line": f"with {_LINES} select evidence_id, min(n) as number, arg_min(rtrim(line, chr(13)), n) as line from l where contains(lower(line), 'cookie') group by 1",
-    "claim_kinds": "select evidence_id, concat_ws(',', " + ", ".join(f"case when regexp_matches(lower(text), '{p}') then '{k}' end" for k, p in _CLAIMS.items()) + ") as kinds from evidence_text where kinds <> ''",
+    "surrounding_line": f"with {_LINES} select evidence_id, n as number, regexp_replace(line, '\\r$', '') as line from l where contains(lower(line), 'cookie')",
+    "claim_kinds": "select evidence_id, concat_ws(',', " + ", ".join(f"case when regexp_matches(t, '{p}') then '{k}' end" for k, p in _CLAIMS.items()) + ") as kinds from (select evidence_id, regexp_replace(lower(text), '\\bbuy\\s+guide', 'guide', 'g') as t from (select evidence_id, text from evidence_text union all select -generate_subscripts(x, 1), unnest(x) from (select [" + ", ".join(f"'{x}'" for x in _OFFERS) + "] as x))) where kinds <> ''",
     "proper_names": "select doc_id, name from (select doc_id, text, unnest(list_distinct(regexp_extract_all(title, '[a-z] ([A-Z][a-z]+(?: [A-Z][a-z]+)*)', 1))) as name from documents where title is not null and text is not null) where not contains(text, name)",
     "response_classes": f"select case when robots_status = 'disallowed' then 'robots' when http_status in (401, 403) then 'blocked' when contains(reason, 'login wall') or contains(reason, 'paywall') then 'wall' when http_status = 404 then 'missing' when http_status >= 400 then 'error' when http_status is null then 'none' else 'ok' end as kind, count(*) as attempts from {_A} group by 1",
     "search": f"select doc_id, lower(title) as title, source, row_number() over (order by lower(title) nulls last, doc_id) as place from documents where source in {_in(_SEARCHED)} and contains(lower(concat_ws(' ', title, topic)), 'a') order by place limit 100",
@@ -271,7 +278,7 @@ SQL = {
     "order_guard": "with r as (select user_id, value, max(value) over (partition by user_id order by ts, event_id rows between unbounded preceding and 1 preceding) as top from events) select user_id, count(*) filter (value > coalesce(top, '-infinity'::double)) as records, count(*) as events from r group by 1",
     "display_names": r"select coalesce(nullif(trim(regexp_replace(regexp_extract(attribution, '^([^;]*)', 1), ' *\([^()]*\)$', '')), ''), regexp_replace(regexp_extract(url, '^[^:]+://([^/]+)', 1), '^www[.]', '')) as name, count(*) as rows from evidence group by 1",
     "escaped": "select doc_id, replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;') as html, replace(title, '|', '\\|') as markdown from documents where title is not null",
-    "minute_labels": "select case when m // 60 = 0 then m || ' min' when m % 60 = 0 then (m // 60) || ' hr' else (m // 60) || ' hr ' || (m % 60) || ' min' end as label, count(*) as documents from (select try_cast(regexp_extract(text, '([0-9]{1,4}) minutes', 1) as bigint) as m from documents) where m is not null group by 1",
+    "minute_labels": "select case when m // 60 = 0 then m || ' min' when m % 60 = 0 then (m // 60) || ' hr' else (m // 60) || ' hr ' || (m % 60) || ' min' end as label, count(*) as mentions from (select unnest(regexp_extract_all(text, '([0-9]{1,4}) minutes', 1))::bigint as m from documents) group by 1",
     "age_labels": "select case when a is null then 'unknown' when a < 0 then 'later' when a < 3600 then 'minutes' when a < 86400 then 'hours' when a < 86400 * 30 then 'days' else 'months' end as label, count(*) as documents from (select 1735689600 - floor(epoch_us(fetched_at) / 1000000) as a from documents) group by 1",
     "intents": "with f as (select id, count(*) as n, count(distinct to_json(fetch_attempts)::varchar) as forms from fetch_attempts group by id) select case when forms = 1 then 'accepted' else 'refused' end as verdict, count(*) as ids from f where n > 1 group by 1",
     "dashboard": "select (select count(*) from evidence) as evidence, (select count(distinct id) from fetch_attempts) as attempts, (select '[' || string_agg(id, ',' order by fetched_at desc, id desc) || ']' from (select id, fetched_at from evidence order by fetched_at desc, id desc limit 25)) as newest",

@@ -101,6 +101,14 @@ def three_way(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(e, "evidence_id").join(t, "evidence_id", "left").select("id", "evidence_id", F.col("version_no").cast("long").alias("version_no"), F.length("text").cast("long").alias("chars"))
 
 
+def current_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts with the evidence they stored, where its text is stored and no newer version of its url is."""
+    a = deliveries(spark, sf_dir, "id", "evidence_id").filter("evidence_id is not null")
+    e, t = load(spark, sf_dir, "evidence", "id", "url", "version_no").withColumnRenamed("id", "evidence_id"), load(spark, sf_dir, "evidence_text", "evidence_id")
+    newest = e.groupBy("url").agg(F.max("version_no").alias("version_no"))
+    return a.join(e, "evidence_id").join(t, "evidence_id", "left_semi").join(newest, ["url", "version_no"]).select("id", "evidence_id", "url")
+
+
 def latest_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each dev case's newest evidence of its source, or null: a correlated scalar subquery as one ranked join."""
     e = load(spark, sf_dir, "evidence", "id", "url", "fetched_at").withColumn("source", host("url"))
@@ -225,7 +233,7 @@ def attempt_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (due_sources, exploration_reserve, backlog, alias_lookup, three_way, latest_lookup, positional_zip, set_sizes, keep_first_union, array_sets, publisher_roots, independent_publishers,
+    for f in (due_sources, exploration_reserve, backlog, alias_lookup, three_way, current_attempts, latest_lookup, positional_zip, set_sizes, keep_first_union, array_sets, publisher_roots, independent_publishers,
               version_ancestry, content_components, slot_collisions, duplicate_keys, queue_claim, idempotent_lookup, daily_ledger, attempt_outcomes)
 }
 
@@ -240,6 +248,7 @@ SQL = {
     "backlog": "select id, url from evidence where id not in (select evidence_id from evidence_text) order by fetched_at desc, id desc limit 25",
     "alias_lookup": f"with e as (select {_HOST.format('url')} as host, max(attribution) as attribution from evidence group by 1) select e.host, coalesce(h.publisher_id, n.publisher_id) as publisher_id, case when h.publisher_id is not null then 'host' when n.publisher_id is not null then 'alias' end as by from e left join publishers h on h.host = e.host left join publishers n on n.canonical_name = e.attribution",
     "three_way": "select a.id, a.evidence_id, version_no::bigint as version_no, length(text) as chars from (select distinct id, evidence_id from fetch_attempts where evidence_id is not null) a join evidence e on e.id = a.evidence_id left join evidence_text t on t.evidence_id = a.evidence_id",
+    "current_attempts": "select a.id, a.evidence_id, e.url from (select distinct id, evidence_id from fetch_attempts where evidence_id is not null) a join evidence e on e.id = a.evidence_id where e.id in (select evidence_id from evidence_text) and version_no = (select max(version_no) from evidence x where x.url = e.url)",
     "latest_lookup": f"with n as (select {_HOST.format('url')} as source, arg_max(id, (fetched_at, id)) as evidence_id from evidence group by 1) select name, evidence_id from dev_cases left join n using (source)",
     "positional_zip": "select doc_id, i as n, w[i + 1] as x, w[i + 2] as y from (select doc_id, string_split(title, ' ') as w from documents where title is not null) t, range(0, len(w) - 1) r(i)",
     "set_sizes": "with t as (select evidence_id as id from evidence_text), a as (select distinct evidence_id as id from fetch_attempts where evidence_id is not null) select 'without_text' as what, count(*) as n from evidence where id not in (from t) union all select 'never_attempted', count(*) from evidence where id not in (from a) union all select 'both', count(*) from t where id in (from a) union all select 'either', count(*) from (from t union from a)",

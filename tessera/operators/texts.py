@@ -95,16 +95,6 @@ def keyword_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", hits.cast("long").alias("hits"), F.round(F.least(F.lit(1.0), hits / 6), 4).alias("density"), (hits / 9 >= 0.3).alias("relevant"))
 
 
-def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first period in each document, in days: a number or number word of days, weeks or months."""
-    number = F.regexp_extract(F.lower("text"), r"\b([0-9]+|one|two|three|four|six) (day|week|month)s?\b", 1)
-    unit = F.regexp_extract(F.lower("text"), r"\b([0-9]+|one|two|three|four|six) (day|week|month)s?\b", 2)
-    words = F.create_map(*(F.lit(x) for p in (("one", 1), ("two", 2), ("three", 3), ("four", 4), ("six", 6)) for x in p))
-    units = F.create_map(*(F.lit(x) for p in (("day", 1), ("week", 7), ("month", 30)) for x in p))
-    days = F.coalesce(F.try_element_at(words, F.col("number")).cast("long"), F.col("number").try_cast("long")) * F.try_element_at(units, F.col("unit"))
-    return load(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", number.alias("number"), unit.alias("unit")).filter("number <> ''").select("doc_id", days.cast("long").alias("days"))
-
-
 def grounded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each page's title (12 characters or more) stands in its text, blanks and letter case apart."""
     fold = lambda c: F.lower(F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " ")))
@@ -152,10 +142,10 @@ def quantities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def durations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hours and minutes that each document's text names first, and people its title names."""
+    """All hours and minutes that each document's text names, summed, and all people that its title names."""
     d = load(spark, sf_dir, "documents", "doc_id", "text", "title")
-    part = lambda c, p: F.coalesce(F.expr(f"try_cast(nullif(regexp_extract({c}, '{p}', 1), '') as bigint)"), F.lit(0))
-    return d.select("doc_id", part("text", "([0-9]{1,6}) hours?").alias("hours"), part("text", "([0-9]{1,6}) minutes?").alias("minutes"), part("title", "for ([0-9]{1,6}) people").alias("people")).filter("hours + minutes + people > 0")
+    every = lambda c, p: F.aggregate(F.coalesce(F.regexp_extract_all(c, F.lit(p), 1), F.array().cast("array<string>")), F.lit(0).cast("long"), lambda s, x: s + F.coalesce(x.try_cast("long"), F.lit(0)))
+    return d.select("doc_id", every("text", "([0-9]{1,6}) hours?").alias("hours"), every("text", "([0-9]{1,6}) minutes?").alias("minutes"), every("title", "for ([0-9]{1,6}) people").alias("people")).filter("hours + minutes + people > 0")
 
 
 def content_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +197,7 @@ def html_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (fold_blanks, sentence_lengths, sentence_matches, first_sentence_match, line_rejoin, pattern_scan, keyword_density, timings, grounded_titles, occurrences, slugs, url_parts, word_counts, excerpt_checks,
+    for f in (fold_blanks, sentence_lengths, sentence_matches, first_sentence_match, line_rejoin, pattern_scan, keyword_density, grounded_titles, occurrences, slugs, url_parts, word_counts, excerpt_checks,
               quantities, durations, content_keys, json_fields, json_items, json_aliases, heading_sections, html_round_trip)
 }
 
@@ -216,7 +206,6 @@ _FOLD = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[ \t\
 _SENT = rf"list_filter(string_split(regexp_replace(regexp_replace({{}}, '([.!?])[ \n]+', '\1{MARK}', 'g'), '\n+', '{MARK}', 'g'), '{MARK}'), lambda s: trim(s) <> '')"
 _KEY = r"""regexp_replace(lower(trim(regexp_replace(translate({}, '‘’“”', '''''""'), '[ \t\r\n]+', ' ', 'g'))), '\.$', '')"""
 _B = r"lower(trim(regexp_replace({}, '[ \t\r\n]+', ' ', 'g')))"
-_T = r"'\b([0-9]+|one|two|three|four|six) (day|week|month)s?\b'"
 _Q = "'^([0-9]+|½|¼|¾) (tablespoons?|teaspoons?|cups?|ounces?|grams?|slices?|sprigs?|handfuls?|g|ml) '"
 _INJECTION_SQL = "concat_ws(',', " + ", ".join(f"case when regexp_matches(lower(text), '{p}') then '{n}' end" for n, p in enumerate(INJECTION, 1)) + ")"
 SQL = {
@@ -227,7 +216,6 @@ SQL = {
     "line_rejoin": r"select evidence_id, length(text) - length(replace(text, chr(10), '')) + 1 as before, length(j) - length(replace(j, chr(10), '')) + 1 as after from (select *, regexp_replace(text, '([^.!?:;\n])\r?\n([a-z0-9)\]])', '\1 \2', 'g') as j from evidence_text)",
     "pattern_scan": f"select evidence_id, {_INJECTION_SQL} as patterns from (select evidence_id, text from evidence_text union all select -generate_subscripts(x, 1), unnest(x) from (select [{', '.join(repr(x) for x in _INJECTED)}] as x)) where patterns <> ''",
     "keyword_density": "select doc_id, hits, round(least(1.0, hits / 6), 4) as density, hits / 9 >= 0.3 as relevant from (select doc_id, (" + " + ".join(f"coalesce(contains(lower(text), '{k}')::int, 0)" for k in _KEYWORDS) + ")::bigint as hits from documents)",
-    "timings": f"select doc_id, (coalesce(case n when 'one' then 1 when 'two' then 2 when 'three' then 3 when 'four' then 4 when 'six' then 6 end, try_cast(n as bigint)) * case u when 'day' then 1 when 'week' then 7 else 30 end)::bigint as days from (select doc_id, regexp_extract(lower(text), {_T}, 1) as n, regexp_extract(lower(text), {_T}, 2) as u from documents) where n <> ''",
     "grounded_titles": f"select id, coalesce(length(title) >= 12 and contains({_B.format('text')}, {_B.format('title')}), false) as grounded from evidence join evidence_text on id = evidence_id",
     "occurrences": "select doc_id, len(p) as n, list_min(p) as first, list_max(p) as last from (select doc_id, list_filter(range(1, length(title) + 1), lambda i: substring(title, i, 2) = 'an') as p from documents where title is not null)",
     "slugs": "select publisher_id, s as slug, '@' || replace(s, '-', '_') as handle, substring(sha256(s), 1, 16) as key from (select publisher_id, regexp_replace(lower(trim(canonical_name)), '[^a-z0-9]+', '-', 'g') as s from publishers)",
@@ -235,7 +223,7 @@ SQL = {
     "word_counts": r"select doc_id, case when b = '' then 0 else len(string_split(b, ' ')) end as words from (select doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) as b from documents where text is not null)",
     "excerpt_checks": "select * from (select id, excerpt = substring(text, 1, 1200) as begins, text_chars = length(text) as counted from evidence join evidence_text on id = evidence_id) where not begins or not counted",
     "quantities": f"select rtrim(u, 's') as unit, count(*) as lines, sum(case q when '½' then 0.5 when '¼' then 0.25 when '¾' then 0.75 else try_cast(q as double) end) as amount from (select regexp_extract(line, {_Q}, 1) as q, regexp_extract(line, {_Q}, 2) as u from (select unnest(string_split(text, chr(10))) as line from evidence_text)) where q <> '' group by 1",
-    "durations": "select * from (select doc_id, coalesce(try_cast(nullif(regexp_extract(text, '([0-9]{1,6}) hours?', 1), '') as bigint), 0) as hours, coalesce(try_cast(nullif(regexp_extract(text, '([0-9]{1,6}) minutes?', 1), '') as bigint), 0) as minutes, coalesce(try_cast(nullif(regexp_extract(title, 'for ([0-9]{1,6}) people', 1), '') as bigint), 0) as people from documents) where hours + minutes + people > 0",
+    "durations": "select * from (select doc_id, " + ", ".join(f"coalesce(list_sum(list_transform(regexp_extract_all({c}, '{p}', 1), lambda x: x::bigint)), 0)::bigint as {n}" for c, p, n in (("text", "([0-9]{1,6}) hours?", "hours"), ("text", "([0-9]{1,6}) minutes?", "minutes"), ("title", "for ([0-9]{1,6}) people", "people"))) + " from documents) where hours + minutes + people > 0",
     "content_keys": """select o_orderkey, sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)) as key, substring(sha256(concat_ws('|', o_orderkey, o_custkey, o_orderstatus)), 1, 32) as edge, sha256('{"customer":' || o_custkey || ',"priority":"' || o_orderpriority || '","status":"' || o_orderstatus || '"}') as fingerprint from orders""",
     "json_fields": "with v as (select case_id, try_cast(document as json) as v from holdout_cases) select case_id, v->>'$.name' as name, v->>'$.completeness' as completeness, try_cast(v->>'$.provenance.revision' as bigint) as revision, v->>'$.schema_version' as schema_version from v",
     "json_items": "select field, count(*) as cases from (select unnest(from_json(json_extract(document, '$.unknown_fields'), '[\"varchar\"]')) as field from holdout_cases where try_cast(document as json) is not null) group by 1",

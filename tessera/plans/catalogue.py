@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("operators.instants", "operators.versions", "operators.merges", "operators.relations", "operators.reports", "operators.texts", "operators.records", "operators.grammar", "operators.access", "operators.pages", "sources.stores")
+MODULES: tuple[str, ...] = ("operators.instants", "operators.versions", "operators.merges", "operators.relations", "operators.reports", "operators.texts", "operators.records", "operators.grammar", "operators.access", "operators.pages", "operators.payloads", "sources.stores")
 
 
 def _all(name: str) -> dict:

@@ -52,6 +52,14 @@ def event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id long, user_id long, event_type string").json(path)
 
 
+def merged_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations written in two versions of a table, the second with a further column, and read as one: rows and filled values by version."""
+    path, n = f"{shared_dir(spark)}/nations", load(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey").withColumn("version", (F.col("n_nationkey") % 2 + 1).cast("int"))
+    n.filter("version = 1").drop("n_regionkey").write.parquet(path)
+    n.filter("version = 2").write.mode("append").parquet(path)
+    return spark.read.option("mergeSchema", "true").parquet(path).groupBy("version").agg(F.count("*").alias("rows"), F.count("n_regionkey").alias("filled"))
+
+
 def file_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What changed between two manifests of a folder of lists of topics, by kind of drift; and whether the newest file is one of them."""
     root, topics = shared_dir(spark), load(spark, sf_dir, "documents", "topic").filter("topic is not null").distinct()
@@ -110,13 +118,14 @@ def copy_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, rows long, same boolean")
 
 
-QUERIES = {f.__name__: f for f in (json_inbox, snapshot_pointer, restored_backup, event_log, file_manifest, report_lines, waits, streamed_quota, streamed_inbox, streamed_failures, copy_digests)}
+QUERIES = {f.__name__: f for f in (json_inbox, snapshot_pointer, restored_backup, event_log, merged_schema, file_manifest, report_lines, waits, streamed_quota, streamed_inbox, streamed_failures, copy_digests)}
 _CLASS = "case when t like 'ok%' or t = 'success' then 'ok' when t like 'block%' then 'blocked' when t like 'skip%' or t = 'policy' then 'skipped_policy' when t like 'er%' then 'error' else 'other' end"
 _A = "(select distinct on (id) *, lower(trim(coalesce(outcome, ''))) as t from fetch_attempts)"
 SQL = {
     "snapshot_pointer": "select publisher_id, canonical_name, host, zone_name from publishers",
     "restored_backup": "select o_orderkey, o_custkey, o_orderstatus from orders",
     "event_log": "select event_id, user_id, event_type from events",
+    "merged_schema": "select n_nationkey % 2 + 1 as version, count(*) as rows, case when n_nationkey % 2 = 1 then count(*) else 0 end as filled from nation group by 1, n_nationkey % 2",
     "file_manifest": "select 'changed' as drift, 1 as files where exists (select 1 from documents where topic = 'laundry') union all select 'newest', 1",
     "report_lines": "select value from (select -3 as n, '# Regions' || chr(10) as value union all select -2, '| r_regionkey | r_name |' union all select -1, '| --- | --- |' union all select r_regionkey, '| ' || r_regionkey || ' | ' || replace(r_name, '|', chr(92) || '|') || ' |' from region) order by n",
     "waits": "select * from (values ('120', 120), (' 5 ', 5), ('0', 0), ('-3', null), ('soon', null), ('', null), ('Wed, 01 May 2024 00:10:00 GMT', 600), ('Wed, 01 May 2020 00:00:00 GMT', null), ('Wed, 99 May 2024 00:00:00 GMT', null)) v(header, seconds)",
