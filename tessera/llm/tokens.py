@@ -205,7 +205,7 @@ def recurring(texts: DataFrame) -> bytes:
     bit = F.pmod(F.col("lo"), F.lit(FLAGS)) + 1
     parts = often.groupBy(F.bitmap_bucket_number(bit).alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
     flags = bytearray(FLAGS // 8)
-    for row in parts.toLocalIterator():  # FLAGS bits in all
+    for row in parts.collect():  # FLAGS bits in all, whatever the corpus
         at = (row["part"] - 1) * len(row["bits"])
         flags[at : at + len(row["bits"])] = row["bits"]
     return bytes(flags)
