@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html as html_text
 import json
 import re
 from html.parser import HTMLParser
@@ -187,6 +188,18 @@ def canonical(column: pd.Series) -> pd.Series:
     return column.map(canonical_json)
 
 
+@F.pandas_udf(StringType())
+def nested(column: pd.Series, key: pd.Series) -> pd.Series:
+    """first_string of a column of JSON texts under a key; the outermost value goes first, then the order of the document."""
+    return pd.Series([None if x is None else first_string(parsed_json(x), k) for x, k in zip(column, key)], dtype=object)
+
+
+@F.pandas_udf(StringType())
+def decoded(column: pd.Series) -> pd.Series:
+    """Texts with their character references decoded."""
+    return column.map(lambda x: None if x is None else html_text.unescape(x))
+
+
 @F.pandas_udf(StringType())
 def block(column: pd.Series) -> pd.Series:
     """json_block of a column."""

@@ -8,8 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.html import extract_page, site_links
+from tessera.functions.html import decoded, extract_page, site_links
 from tessera.functions.recipes import bindings, located
+from tessera.operators.grammar import text_sql
 from tessera.operators.texts import _INJECTION_SQL, injections
 from tessera.sources.tables import load, spread
 
@@ -87,10 +88,41 @@ def name_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.when(F.col("n") > 1, F.concat("key", F.lit("#"), F.col("n").cast("string"))).otherwise(F.col("key")).alias("slot"))
 
 
-QUERIES = {f.__name__: f for f in (page_extraction, link_discovery, record_units, record_bindings, name_slots)}
+def anchored_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each page's title stands in its text as a whole line, blanks at the ends apart."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "\r$", "")))
+    return _texts(spark, sf_dir).filter("title is not null").select("id", F.array_contains(lines, F.trim("title")).alias("anchored"))
+
+
+def decoded_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of documents, escaped and decoded again, in folded letter case: how many there are of each length."""
+    d = spread(load(spark, sf_dir, "documents", "title").filter("title is not null"))
+    return d.select(decoded(_escaped("title", True)).alias("t")).groupBy(F.length("t").cast("long").alias("chars")).agg(F.count("*").alias("titles"), F.min(F.lower("t")).alias("first"))
+
+
+#: Responses as status, content type and body, for the rules that need a body.
+_BODIES = ((200, "text/html", "<p>fine <b>words</b></p>"), (403, "text/html", "x"), (404, "", "x"), (500, "text/html", ""), (200, "text/html", '<form><input TYPE="password"></form>'), (200, "text/html", "Subscribe to continue reading this"), (200, "image/png", "x"), (200, "", "plain"), (200, "application/xhtml+html", "To continue reading " + "word " * 500))
+
+
+def body_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Literal responses by the first rule they meet (denied, missing, error, login wall, paywall, content type; else ok), with their words outside of tags."""
+    r = spark.createDataFrame([(n, *b) for n, b in enumerate(_BODIES)], "id long, status int, kind string, body string").withColumn("low", F.lower("body"))
+    text = F.trim(F.regexp_replace(F.regexp_replace("body", "<[^>]+>", " "), "\\s+", " "))
+    words = F.when(text == "", 0).otherwise(F.size(F.split(text, " "))).cast("long")
+    short, wall = words < 400, F.contains("low", F.lit('type="password"'))
+    paid = F.col("low").rlike("subscribe to continue|subscription required|to continue reading")
+    rule = F.when(F.col("status").isin(401, 403), "denied").when(F.col("status") == 404, "missing").when(F.col("status") >= 400, "error").when(wall & short, "login_wall").when(paid & short, "paywall").when((F.col("kind") != "") & ~F.col("kind").rlike("html|text"), "content_type").otherwise("ok")
+    return r.select("id", rule.alias("rule"), words.alias("words"))
+
+
+QUERIES = {f.__name__: f for f in (page_extraction, link_discovery, record_units, record_bindings, name_slots, anchored_titles, decoded_titles, body_classes)}
 _WHITE = r"[ \t\r\n\f\x0B\x{00A0}]+"
 _BODY = rf"array_to_string(list_filter(list_transform(list_prepend(coalesce(title, ''), string_split(text, chr(10))), lambda x: trim(regexp_replace(x, '[ \t\r\f\x0B\x{{00A0}}]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
+_RESPONSES = ", ".join(f"({n}, {s}, {text_sql(k)}, {text_sql(b)})" for n, (s, k, b) in enumerate(_BODIES))
 SQL = {
+    "anchored_titles": "select id, list_contains(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\\r$', ''), ' ')), trim(title, ' ')) as anchored from evidence join evidence_text on id = evidence_id where title is not null and text is not null",
+    "decoded_titles": "select length(title) as chars, count(*) as titles, min(lower(title)) as first from documents where title is not null group by 1",
+    "body_classes": rf"""with r as (select *, lower(body) as low, trim(regexp_replace(regexp_replace(body, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) as t from (values {_RESPONSES}) v(id, status, kind, body)), w as (select *, case when t = '' then 0 else len(string_split(t, ' ')) end as words from r) select id, case when status in (401, 403) then 'denied' when status = 404 then 'missing' when status >= 400 then 'error' when contains(low, 'type="password"') and words < 400 then 'login_wall' when regexp_matches(low, 'subscribe to continue|subscription required|to continue reading') and words < 400 then 'paywall' when kind <> '' and not regexp_matches(kind, 'html|text') then 'content_type' else 'ok' end as rule, words from w""",
     "page_extraction": f"with p as (select id, nullif(trim(regexp_replace(title, '{_WHITE}', ' ', 'g')), '') as title, id % 4 as f, nullif(published_at, '') as d, nullif(modified_at, '') as m, {_BODY} as text from evidence join evidence_text on id = evidence_id where text is not null) select id, title, case f when 1 then d || 'x' when 3 then null else d end as published_at, case when d is null or f = 3 then 'unknown' when f = 0 then 'meta:article:published_time' when f = 1 then 'meta:date' else 'jsonld:datePublished' end as basis, case when f <> 3 then m end as modified_at, sha256(text) as digest, {_INJECTION_SQL} as flags, length(left(text, 1200)) as excerpt from p",
     "link_discovery": "select url, n, case n when 0 then d || 'page-' || i else d || 'sub/deep.html' end as link from (select url, min(id)::varchar as i, lower(regexp_extract(url, '^([^:]+://[^/]+)', 1)) || regexp_extract(url, '^[^:]+://[^/?#]+([^?#]*/)', 1) as d from evidence where url is not null group by url), (values (0), (1)) v(n)",
     "name_slots": r"select id, case when n > 1 then k || '#' || n else k end as slot from (select id, k, row_number() over (partition by s, k order by id) as n from (select id, lower(regexp_extract(url, '^[^:]+://([^/?#:]+)', 1)) as s, 'name:' || substring(sha256(lower(trim(regexp_replace(title, '[ \t\r\n]+', ' ', 'g')))), 1, 16) as k from evidence where title is not null))",

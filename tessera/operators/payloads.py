@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.sources.tables import load
+from tessera.functions.html import block, canonical, nested
+from tessera.operators.grammar import literals, text_sql
+from tessera.sources.tables import load, spread
 
 _BOOK = '{"clusters": {"meals": {"accounts": ["@plum", "@leek"]}, "cleaning": {"accounts": []}, "plans": {"accounts": ["@list"]}}, "queries": {"meals": ["plum jam", "leek pie"], "plans": ["week plan"]}}'
 _PAYLOADS = (
@@ -60,9 +62,33 @@ def schema_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy(F.array_join(schema_errors("document"), ",").alias("errors")).agg(F.count("*").alias("documents"))
 
 
-QUERIES = {f.__name__: f for f in (book_seeds, adapted_payloads, schema_validation)}
+def nested_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first content hash at any depth of each case's document and of nested literal ones, in order of the document; null where there is none."""
+    rows = load(spark, sf_dir, "holdout_cases", "case_id", "document").union(spark.createDataFrame([(f"literal {n}", x) for n, x in enumerate(_NESTED)], "case_id string, document string"))
+    return spread(rows).select("case_id", nested("document", F.lit("content_hash")).alias("content_hash"))
+
+
+_NESTED = ('{"a": [{"b": 1}, {"c": {"content_hash": "deep"}}], "content_hash": "top"}', '[[{"content_hash": 5}, {"content_hash": "second"}]]', '{"content_hash": null}', "{", "7")
+_NOISY = ('note ```json\n{"a": 1}\n``` end', "no block", 'x {"s": "}{"} y', "[1, [2]] tail", '{"open": 1', "{not json} [3]", "")
+
+
+def json_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first JSON object or array in literal noisy texts; null where none parses."""
+    return literals(spark, _NOISY).select("id", block("text").alias("block"))
+
+
+def canonical_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of the canonical form of each case's document; null where it doesn't parse."""
+    rows = spread(load(spark, sf_dir, "holdout_cases", "case_id", "document"))
+    return rows.select("case_id", F.sha2(canonical("document"), 256).alias("fingerprint"))
+
+
+QUERIES = {f.__name__: f for f in (book_seeds, adapted_payloads, schema_validation, nested_values, json_blocks, canonical_documents)}
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 SQL = {
+    "nested_values": f"select case_id, case when case_id = 'literal 0' then 'top' when case_id = 'literal 1' then 'second' else try_cast(document as json)->>'$.provenance.content_hash' end as content_hash from (select case_id, document from holdout_cases union all select unnest([{', '.join(repr(f'literal {n}') for n in range(len(_NESTED)))}]), unnest([{', '.join(map(text_sql, _NESTED))}]))",
+    "json_blocks": """select * from (values (-1, '{"a": 1}'), (-2, null), (-3, '{"s": "}{"}'), (-4, '[1, [2]]'), (-5, null), (-6, '[3]'), (-7, null)) v(id, block)""",
+    "canonical_documents": "select case_id, sha256(try_cast(document as json)::json::varchar) as fingerprint from (select case_id, case when try_cast(document as json) is not null then json(document)::varchar end as document from holdout_cases)",
     "book_seeds": f"with b as (select '{_BOOK}'::json as b), c as (select unnest(json_keys(b->'$.clusters')) as cluster, b from b), q as (select unnest(json_keys(b->'$.queries')) as cluster, b from b), a as (select cluster, 'account' as kind, from_json(b->'$.clusters'->cluster->'$.accounts', '[\"varchar\"]') as l from c union all select cluster, 'query', from_json(b->'$.queries'->cluster, '[\"varchar\"]') from q) select cluster, kind, generate_subscripts(l, 1) - 1 as place, unnest(l) as value from a",
     "adapted_payloads": f"with p as (select unnest({_list(_PAYLOADS)}) as body, generate_subscripts({_list(_PAYLOADS)}, 1) - 1 as id), v as (select id, case when body = '' then null else try_cast(body as json) end as v from p), i as (select id, v->>'$.schema' as s, case when v->>'$.schema' = 'v2' then coalesce(v->'$.creators', v->'$.competitors') else v->'$.items' end as i from v) select id, case when s = 'v2' then 'v1' else s end as schema, case when i is not null then coalesce(array_to_string(list_transform(from_json(i, '[\"json\"]'), lambda x: coalesce(x->>'$.handle', x->>'$.name')), ','), '') end as items from i",
     "schema_validation": f"with d as (select document from holdout_cases where document is not null union all select unnest({_list(_DOCUMENTS)})), v as (select try_cast(document as json) as v from d), k as (select v, case when json_type(v) = 'OBJECT' then json_keys(v) end as k from v), e as (select case when v is null then ['not_json'] when k is null then ['not_object'] else list_concat(list_transform(list_filter({_list(_ALLOWED[:3])}, lambda x: not list_contains(k, x)), lambda x: 'missing:' || x), list_transform(list_sort(list_filter(k, lambda x: not list_contains({_list(_ALLOWED)}, x))), lambda x: 'unknown:' || x), list_filter([case when list_contains(k, 'name') and (json_type(v->'$.name') <> 'VARCHAR' or v->>'$.name' = '') then 'name:minLength' end, case when list_contains(k, 'conflicts') and json_type(v->'$.conflicts') <> 'ARRAY' then 'conflicts:type' end, case when list_contains(k, 'unknown_fields') and json_type(v->'$.unknown_fields') <> 'ARRAY' then 'unknown_fields:type' end], lambda x: x is not null)) end as e from k) select array_to_string(e, ',') as errors, count(*) as documents from e group by 1",
