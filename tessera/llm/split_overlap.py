@@ -196,5 +196,25 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p5_found": p5_found, "p5_report": p5_report}
+def p5_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between classes of equal word sequences of both splits (their least case and dev name): likeness, coverage of
+    both texts, and the pairs of cases that a link stands for."""
+    links, members = overlaps(*_tables(spark, sf_dir))
+    sizes = members.distinct().groupBy("side", "rep").agg(F.count("*").alias("size"))
+    side = lambda side, rep: sizes.filter(F.col("side") == side).select(F.col("rep").alias(rep), F.col("size").alias(f"size_{rep}"))
+    both = links.join(side(False, "a"), "a").join(side(True, "b"), "b")
+    rounded = (F.round(c, 4).alias(name) for c, name in (("likeness", "likeness"), ("coverage_a", "coverage_case"), ("coverage_b", "coverage_dev")))
+    return both.select(F.col("a").alias("case_class"), F.col("b").alias("dev_class"), *rounded, (F.col("size_a") * F.col("size_b")).alias("pairs"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row a case of either split that takes part: its class, and the number of classes of the other split that it is linked to."""
+    links, members = overlaps(*_tables(spark, sf_dir))
+    links = persisted(links)
+    degree = links.groupBy(F.lit(False).alias("side"), F.col("a").alias("rep")).agg(F.count("*").alias("links")).union(links.groupBy(F.lit(True), "b").agg(F.count("*")))
+    rows = members.distinct().join(degree, ["side", "rep"], "left")
+    return rows.select(F.when(F.col("side"), "dev").otherwise("holdout").alias("split"), F.col("id").alias("name"), F.col("rep").alias("class"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_report": p5_report, "p5_links": p5_links, "p5_classes": p5_classes}
 SQL: dict[str, str] = {}

@@ -152,3 +152,21 @@ def test_boilerplate_and_site_lines(spark):
     marked = rows.join(recurring.groupBy("id").agg(F.collect_set("line_no").alias("recurring")), "id", "left")
     assert {tuple(r) for r in boilerplate(marked).collect()} == {(i, 3) for i in range(8)}
     assert boilerplate(marked.limit(0)).count() == 0 and site_lines(rows.limit(0), rows).count() == 0
+
+
+def test_pairs_links_and_classes_agree(spark):
+    from tessera.llm.near_duplicates import QUERIES as P3
+    from tessera.llm.split_overlap import QUERIES as P5
+
+    at = "/root/testdata/sf0.001"
+    run = lambda qs, name: qs[name](spark, at)
+    pairs = run(P3, "p3_found").count()
+    sizes = run(P3, "p3_classes").groupBy("class_id").count().collect()
+    within = sum(r["count"] * (r["count"] - 1) // 2 for r in sizes)
+    assert pairs == within + (run(P3, "p3_links").agg(F.sum("pairs")).first()[0] or 0)
+    alike = run(P5, "p5_links").agg(F.sum("pairs")).first()[0]
+    report = run(P5, "p5_report").agg(F.sum("pairs")).first()[0]
+    found = run(P5, "p5_found")
+    assert found.count() == found.distinct().count() == report >= alike > 0
+    linked = run(P5, "p5_classes").filter("links > 0 and split = 'holdout'").select("name")
+    assert linked.join(found.select(F.col("case_id").alias("name")), "name", "left_anti").count() == 0
