@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
@@ -97,12 +98,20 @@ class Encoder:
 
 
 def rolled(data: np.ndarray, span: int) -> np.ndarray:
-    """A hash of each `span` consecutive bytes."""
-    h = np.zeros(len(data) - span + 1, dtype=np.uint32)
-    mapped = _TABLE[data]
-    for k in range(span):
-        h = (h << np.uint32(3)) ^ (h >> np.uint32(29)) ^ mapped[k : k + len(h)]
-    return (h * np.uint32(2654435761)) >> np.uint32(16)
+    """A hash of each `span` consecutive bytes: their table values, each turned by three bits for every byte behind it.
+
+    Hashes of two adjacent stretches give that of both, so stretches double in length.
+    """
+    turned = lambda x, n: x if n % 32 == 0 else (x << np.uint32(n % 32)) | (x >> np.uint32(32 - n % 32))
+    part, width, whole, covered = _TABLE[data], 1, None, 0
+    while covered < span:
+        if span & width:
+            whole = part if whole is None else turned(whole[: len(part) - covered], 3 * width) ^ part[covered:]
+            covered += width
+        if covered < span:
+            part = turned(part[:-width], 3 * width) ^ part[width:]
+            width *= 2
+    return (whole * np.uint32(2654435761)) >> np.uint32(16)
 
 
 def cuts(data: np.ndarray) -> np.ndarray:
@@ -136,22 +145,33 @@ def safe(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_WHITE[data[1:]] & _PRINTABLE[data[:-1]]) + 1
 
 
-def repaired(ids: np.ndarray, joins: np.ndarray, encoder: Encoder) -> np.ndarray:
-    """The ids of the whole text, given ids that were encoded apart before and after the token positions `joins`."""
-    ends = np.cumsum(encoder.lengths[ids])
-    at = ends[joins[(joins > 0) & (joins < len(ids))] - 1]
-    if not len(at):
-        return ids
+def repaired(ids: np.ndarray, joins: np.ndarray, encoder: Encoder, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of whole texts, given ids that were encoded apart before and after the token positions `joins`.
+
+    `starts` are the positions where texts start, and the end; one text if not given. Returns the ids and their starts.
+    """
+    starts = np.array([0, len(ids)]) if starts is None else starts
+    before = np.concatenate(([0], np.cumsum(encoder.lengths[ids])))
     raw = b"".join(map(encoder.of_id.__getitem__, ids.tolist()))
-    places = np.concatenate(([0], safe(np.frombuffer(raw, dtype=np.uint8)), [len(raw)]))
+    places = np.union1d(before[starts], safe(np.frombuffer(raw, dtype=np.uint8)))
+    at = before[joins]
     after = np.searchsorted(places, at)
     after = np.unique(after[places[after] != at])  # joins at such places agree already; several within one stretch are one
-    out, done = [], 0
-    for s, e in zip(places[after - 1].tolist(), places[after].tolist()):
-        first, last = np.searchsorted(ends, [s, e], side="right") if s else (0, int(np.searchsorted(ends, e, side="right")))
-        out += [ids[done:first], np.array(encoder.encode(raw[s:e].decode()), dtype=ids.dtype)]
-        done = last
-    return np.concatenate([*out, ids[done:]])
+    if not len(after):
+        return ids, starts
+    from_, to = places[after - 1], places[after]
+    first, last = np.searchsorted(before, from_), np.searchsorted(before, to)
+    known, chunk, flat = encoder.known, encoder.chunk, ids.astype(np.uint32, copy=False).tobytes()
+    out, sizes, done = [], [], 0
+    for s, e, f, t in zip(from_.tolist(), to.tolist(), (4 * first).tolist(), (4 * last).tolist()):
+        part = known.get(raw[s:e])
+        part = chunk(raw[s:e]) if part is None else part
+        out += [flat[done:f], part]
+        sizes.append(len(part) // 4)
+        done = t
+    out.append(flat[done:])
+    more = np.concatenate(([0], np.cumsum(np.array(sizes) - (last - first))))
+    return np.frombuffer(b"".join(out), dtype=np.uint32), starts + more[np.searchsorted(last, starts, side="right")]
 
 
 def _send(spark: SparkSession, ranks: str) -> None:
@@ -266,23 +286,37 @@ def token_ids(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(ranks)
-        for b in batches:
-            out = []
-            for ids, place, hole, found in zip(*(b.column(n).to_pylist() for n in range(1, 5))):
-                ids = np.frombuffer(ids, dtype=np.uint32)
-                of = {(x["hi"], x["lo"]): np.frombuffer(x["ids"], dtype=np.uint32) for x in found or ()}
-                parts, before, shift = [], 0, [0]
-                for p, x in zip(place, hole):
-                    part = of[x["hi"], x["lo"]]
-                    parts += [ids[before:p], part]
-                    before = p
-                    shift.append(shift[-1] + len(part))
-                full = np.concatenate([*parts, ids[before:]])
-                # both ends of a hole are joins, moved by what was filled in before them
-                place, moved = np.array(place, dtype=np.int64), np.array(shift, dtype=np.int64)
-                out.append(repaired(full, np.unique(np.concatenate((place + moved[:-1], place + moved[1:]))), encoder).astype(np.int32))
-            values = pa.array(np.concatenate(out) if out else np.empty(0, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([b.column(0), _lists(np.fromiter(map(len, out), dtype=np.int64, count=len(out)), values)], names=["row", "ids"])
+        for batch in batches:
+            tokens = pc.binary_length(batch.column(1)).to_numpy() // 4
+            ends = np.cumsum(tokens)
+            at = 0
+            while at < len(tokens):
+                to = max(at + 1, int(np.searchsorted(ends, ends[at] - tokens[at] + SLICE_BYTES // 4, side="right")))
+                yield filled(batch.slice(at, to - at), encoder)
+                at = to
+
+    def filled(b: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
+        starts = np.concatenate(([0], np.cumsum(pc.binary_length(b.column(1)).to_numpy() // 4))).astype(np.int64)
+        flat = b"".join(b.column(1).to_pylist())
+        holes = np.concatenate(([0], np.cumsum(np.diff(b.column(2).offsets.to_numpy()))))
+        pairs = lambda x: zip(x.field(0).to_pylist(), x.field(1).to_pylist())
+        given = b.column(4).flatten()
+        of = dict(zip(pairs(given), given.field(2).to_pylist()))
+        parts = [of[k] for k in pairs(b.column(3).flatten())]
+        place = b.column(2).flatten().to_numpy() + np.repeat(starts[:-1], np.diff(holes))
+        out, done = [], 0
+        for p, part in zip((4 * place).tolist(), parts):
+            out += [flat[done:p], part]
+            done = p
+        out.append(flat[done:])
+        # what was filled in moves what follows; both ends of a hole are joins
+        sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+        moved = np.concatenate(([0], np.cumsum(sizes)))
+        ids, starts = np.frombuffer(b"".join(out), dtype=np.uint32), starts + moved[holes]
+        if parts:
+            ids, starts = repaired(ids, np.unique(np.concatenate((place + moved[:-1], place + moved[1:]))), encoder, starts)
+        lists = pa.ListArray.from_arrays(pa.array(starts, type=pa.int32()), pa.array(ids.view(np.int32)))
+        return pa.RecordBatch.from_arrays([b.column(0), lists], names=["row", "ids"])
 
     schema = f"row long, ids binary, place array<int>, hole array<{_PART}>, new array<struct<hi: long, lo: long, chunk: binary>>"
     partial = persisted(documents.mapInArrow(partly, schema).withColumn("key", F.monotonically_increasing_id()))

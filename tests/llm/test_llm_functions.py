@@ -14,7 +14,7 @@ from tessera.llm.reading_level import NAMES, RUN, features
 from tessera.llm.residue import _MESSAGES, MESSAGE, NONE, PLACEHOLDER, label, needed, similarity, simhashes, unit
 from tessera.llm.shingles import batch_shingles, distinct_shingles, jaccard, mix, shingle_hashes, words
 from tessera.llm.split_overlap import WINDOW, chain, winnowed
-from tessera.llm.tokens import PATTERN, RANKS, Encoder, chunked, repaired
+from tessera.llm.tokens import _TABLE, PATTERN, RANKS, Encoder, chunked, repaired, rolled
 
 WORDS = "plum leek salt jar towel clean wipe shelf kettle broth lid stew oats bread drawer rinse soak dry store chop".split()
 
@@ -86,7 +86,31 @@ def test_repaired_joins_agree_with_the_whole_text():
         places = [i for i in range(1, len(raw)) if raw[i] & 0xC0 != 0x80]
         at = [0, *sorted(rng.choice(places, 12, replace=False).tolist()), len(raw)]
         parts = [np.array(encoder.encode(raw[s:e].decode()), dtype=np.uint32) for s, e in zip(at, at[1:])]
-        assert repaired(np.concatenate(parts), np.cumsum(list(map(len, parts)))[:-1], encoder).tolist() == encoder.encode(text)
+        assert repaired(np.concatenate(parts), np.cumsum(list(map(len, parts)))[:-1], encoder)[0].tolist() == encoder.encode(text)
+
+
+def test_repaired_joins_of_several_texts():
+    encoder, rng = Encoder(RANKS), np.random.default_rng(6)
+    texts = ["", "kitchen", "a b", " ", "", "don't", "漢字かな交じり文", "The last one, then.", ""]
+    parts, joins, starts, at = [], [], [0], 0
+    for text in texts:
+        cut = int(rng.integers(0, len(text) + 1))
+        for x in (text[:cut], text[cut:]):
+            parts += encoder.encode(x)
+            joins.append(len(parts))
+        starts.append(len(parts))
+    ids, starts = repaired(np.array(parts, dtype=np.uint32), np.unique(joins[:-1]), encoder, np.array(starts))
+    assert [ids[s:e].tolist() for s, e in zip(starts, starts[1:])] == [encoder.encode(t) for t in texts]
+
+
+def test_rolled_hash_of_every_window():
+    data = np.random.default_rng(7).integers(0, 256, 200).astype(np.uint8)
+    for span in (1, 6, 16, 21):
+        for i in (0, 7, len(data) - span):
+            h = 0
+            for x in data[i : i + span].tolist():
+                h = ((h << 3 | h >> 29) & 0xFFFFFFFF) ^ int(_TABLE[x])
+            assert rolled(data, span)[i] == (h * 2654435761 & 0xFFFFFFFF) >> 16
 
 
 def test_chunks_depend_on_the_content_of_their_text_alone():
