@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.residue import MESSAGE, NONE, label, triggers
-from tessera.sources.tables import load, persisted
+from tessera.sources.tables import load, persisted, spread
 
 #: Filled lines a window, the sums that make a surge and a dive, the mass that a surge or list line has itself, and the least mass of the own title.
 WINDOW, SURGE, DIVE, OWN, TITLE = 3, 35, 20, 10, 30
@@ -232,7 +232,7 @@ def site_lines(texts: DataFrame, about: DataFrame) -> DataFrame:
     all pages; pages with one title count once, since they may be copies or versions of one article.
     """
     page = about.filter("site is not null").select("id", "site", F.xxhash64(F.coalesce("title", F.col("id").cast("string"))).alias("page"))
-    lines = texts.select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = spread(texts.select("id", "text")).select("id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
     lines = lines.withColumn("line", F.trim(F.regexp_replace("line", r"[\s\u00a0]+", " "))).filter(F.length("line") >= SITE_CHARS)
     # lines become keys before they are shuffled, and once for both uses
     keyed = persisted(lines.select("id", (F.col("at") + 1).cast("int").alias("line_no"), F.xxhash64(F.regexp_replace("line", r"\d+", "0")).alias("key")).join(page, "id"))
