@@ -247,7 +247,7 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = load(spark, sf_dir, "evidence_text").select(F.col("evidence_id").alias("id"), "text").filter("text is not null")
     about = load(spark, sf_dir, "evidence", "id", "url", "title").select("id", F.lower(F.regexp_extract("url", r"^\w+://([^/?#:]+)", 1)).alias("site"), "title")
     recurring = site_lines(texts, about).groupBy("id").agg(F.collect_set("line_no").alias("recurring"))
-    found = boilerplate(texts.join(about.select("id", "title"), "id", "left").join(recurring, "id", "left")).distinct()
+    found = boilerplate(spread(texts).join(about.select("id", "title"), "id", "left").join(recurring, "id", "left")).distinct()
     return found.select(F.col("id").alias("evidence_id"), "line_no")
 
 
